@@ -1,15 +1,17 @@
 """The queries and oracle SQL of this package, for the driver's entry file."""
 
-from . import line_dedup, secrets, sharding, substring_dedup
+from . import jaccard_join, line_dedup, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_sharding": sharding.op7_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
