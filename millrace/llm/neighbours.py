@@ -25,57 +25,78 @@ from pyspark.sql import functions as F
 
 from .cluster import cut, small_batches, table
 
-PROJECTIONS = 128
-SHARE = 0.15
-NEED = 0.66
-GROWTH = 1.12
-BLOCK = 8192
+PROJECTIONS = 64
+SHARE = 0.08
+NEED = 0.85
+GROWTH = 1.08
+BLOCK = 16384
 QUERY_BLOCK = 512
 
 
+def directions(dim: int, count: int, seed: int) -> np.ndarray:
+    """Random directions as columns, orthonormal in sets of ``dim``: together they tell more
+    about a distance than independent ones."""
+    rng = np.random.default_rng(seed)
+    sets = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-count // dim))]
+    return np.concatenate(sets, 1)[:, :count].copy()
+
+
 class Index:
     """Sorted projection arrays of one block."""
 
     def __init__(self, vectors: np.ndarray, top: float, projections: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.vectors = vectors.astype(np.float64)
-        self.directions = rng.standard_normal((vectors.shape[1] + 1, projections))
-        extra = np.sqrt(np.maximum(top * top - (self.vectors**2).sum(1), 0))
-        values = np.concatenate([self.vectors, extra[:, None]], 1) @ self.directions
-        order = np.argsort(values, axis=0, kind="stable")
-        self.values = np.take_along_axis(values, order, 0).T.copy()
-        rank = np.empty(order.shape, np.uint16 if len(order) <= 65536 else np.uint32)
-        np.put_along_axis(rank, order, np.arange(len(order), dtype=rank.dtype)[:, None], 0)
-        self.rank = rank.T.copy()
-        self.top = top
+        self.vectors, self.top, self.level = vectors, top, 0
+        self.directions = directions(vectors.shape[1] + 1, projections, seed)
+        extra = np.sqrt(np.maximum(top * top - (vectors**2).sum(1), 0))
+        values = (np.concatenate([vectors, extra[:, None]], 1) @ self.directions).T
+        order = np.argsort(values, axis=1, kind="stable")
+        # the sorted arrays end to end, each moved past the one before, so that one search serves all
+        reach = 4 * top * max(1.0, float(np.abs(values).max() / top))
+        self.shift = np.arange(projections) * reach
+        self.bound = reach / 2.5
+        self.values = (np.take_along_axis(values, order, 1) + self.shift[:, None]).ravel()
+        self.rank = np.empty(order.shape, np.uint16 if order.shape[1] < 65536 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(order.shape[1], dtype=self.rank.dtype)[None], 1)
+
+    def collisions(self, centre: np.ndarray, width: float) -> np.ndarray:
+        """For each vector, the number of windows it is in."""
+        n, m = len(self.vectors), len(self.rank)
+        ends = np.clip(np.stack([centre - width, np.nextafter(centre + width, np.inf)]), -self.bound, self.bound) + self.shift
+        lo, hi = np.clip(np.searchsorted(self.values, ends) - np.arange(m) * n, 0, n)
+        count = np.zeros(n, np.uint8 if m < 256 else np.uint16)
+        kind = self.rank.dtype.type
+        for r, a, s in zip(self.rank, lo.tolist(), (hi - lo).tolist(), strict=True):
+            if s:
+                count += ((r - kind(a)) < kind(s)).view(np.uint8) if s < n else kind(1)
+        return count
 
     def candidates(self, q: np.ndarray, k: int, share: float, need: float, growth: float = GROWTH) -> np.ndarray:
         """Vectors that collide with the query in ``need`` of the windows, at the first width
-        at which enough of them do."""
+        of the ladder at which enough of them do. Hits grow with the width, so the search for
+        that width starts where the last query's ended."""
         n, m = len(self.vectors), len(self.rank)
-        goal, most = min(n, max(k, int(np.ceil(share * n)))), int(np.ceil(need * m))
-        length = np.sqrt((q * q).sum())
-        centre = (q * (self.top / length)) @ self.directions[:-1]
-        width = 0.55 * self.top
-        while True:
-            lo = np.array([np.searchsorted(v, c - width) for v, c in zip(self.values, centre, strict=True)])
-            hi = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.values, centre, strict=True)])
-            count = np.zeros(n, np.uint8 if m < 256 else np.uint16)
-            span = (hi - lo).astype(np.int64)
-            for r, a, s in zip(self.rank, lo.tolist(), span.tolist(), strict=True):
-                if s == n:
-                    count += 1
-                elif s:
-                    count += (r - r.dtype.type(a)) < r.dtype.type(s)
-            hit = np.flatnonzero(count >= most)
-            if len(hit) >= goal or (span == n).all():
-                return hit
-            width *= growth
+        goal, most = min(n, max(k, int(np.ceil(share * n)))), max(1, int(np.ceil(need * m)))
+        centre = (q * (self.top / np.sqrt((q * q).sum()))) @ self.directions[:-1]
+        base = self.top * 0.5 / np.sqrt(len(self.directions) / 2)
+
+        def at(level: int) -> np.ndarray:
+            return np.flatnonzero(self.collisions(centre, base * growth**level) >= most)
+
+        level, hit = self.level, at(self.level)
+        if len(hit) >= goal:
+            while level > 0 and len(less := at(level - 1)) >= goal:
+                level, hit = level - 1, less
+        else:
+            while len(hit) < goal:
+                level += 1
+                hit = at(level)
+        self.level = level
+        return hit
 
     def search(self, ids: np.ndarray, q: np.ndarray, own: int, k: int, share: float, need: float) -> tuple[np.ndarray, np.ndarray]:
         near = self.candidates(q, k + 1, share, need)
         near = near[ids[near] != own]
-        score = (self.vectors[near] * q).sum(1)
+        score = np.einsum("ij,j->i", self.vectors[near], q)
         best = np.lexsort((ids[near], -score))[:k]
         return ids[near][best], score[best]
 
