@@ -87,7 +87,7 @@ def greedy_tiles(pattern: np.ndarray, text: np.ndarray, tile: int) -> list[tuple
             if not p_used[a : a + n].any() and not t_used[b : b + n].any():
                 p_used[a : a + n] = t_used[b : b + n] = True
                 out.append((a, int(where[b]), n))
-        if any(len(_free(p_used[a : a + n + 1] | t_used[b : b + n + 1], size)) for n, a, b in queue):
+        if any(len(_free(p_used[a : a + n] | t_used[b : b + n], size)) for n, a, b in queue):
             continue  # a match that was cut off has left a part that is long enough
         if size <= tile:
             return out

@@ -1,8 +1,10 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles.
 
-Prefix filtering with a rare-first order finds candidate lists: two sets of similarity t or
-more share a shingle among the first n - ceil(t n) + 1 of each. Set relations then save the
-work that pairs would cost:
+Prefix filtering with a rare-first order finds candidate lists: of the shingles that two sets
+of similarity t or more share, the first l are among the first n - ceil(t n) + l of each set.
+With l = ``_least(n)`` a set whose prefix has fewer shingles in common with all other sets
+together than any partner would need has no partner, and goes before any set is sent. Set
+relations then save the work that pairs would cost:
 
 * Equal sets are one class and are joined once.
 * Each list goes to the group of its smallest document, so lists that overlap meet and a
@@ -101,8 +103,13 @@ def _table(kind: int, ids: pa.Array, n: np.ndarray, x: np.ndarray, y: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n, pa.int64()), pa.array(x), pa.array(y)], ["kind", "id", "n", "x", "y"])
 
 
+def _least(n: int, num: int, den: int) -> int:
+    """How many common shingles a prefix of a set of n must show (a tenth of n at 80 %)."""
+    return max(1, n * (den - num) // (2 * den))
+
+
 def _prefixes(k: int, num: int, den: int, buckets: int, shared: Broadcast):
-    """Blobs of prefix entries (shingle, size, position, id) by shingle bucket."""
+    """Blobs of prefix entries (shingle, id, size) by shingle bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_h, hot_n = shared.value
@@ -112,15 +119,15 @@ def _prefixes(k: int, num: int, den: int, buckets: int, shared: Broadcast):
         seen: set[tuple[int, int]] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, ids, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, ids, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             seen.clear()
             key = (mix(h) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(key.astype(np.uint16) if buckets < 65536 else key, kind="stable")
             edge = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
-            rows = [(int(key[order[a]]), *(x[order[a:b]].tobytes() for x in (h, ids, n, at))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            rows = [(int(key[order[a]]), *(x[order[a:b]].tobytes() for x in (h, ids, n))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "ids", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "ids", "n"])
 
         for batch in chunks(batches):
             ids, known = int64s(batch, "id")
@@ -130,14 +137,15 @@ def _prefixes(k: int, num: int, den: int, buckets: int, shared: Broadcast):
                     continue
                 seen.add(p)
                 m = len(s)
-                take = m - -(-num * m // den) + 1
+                take = m - -(-num * m // den) + _least(m, num, den)
                 low = maybe[(s >> np.uint64(42)).astype(np.int64)]
                 if low.any():
                     at = np.minimum(np.searchsorted(hot_h, s[low]), max(len(hot_h) - 1, 0))
                     count = np.zeros(m, np.int64)
                     count[low] = np.where(hot_h[at] == s[low], hot_n[at], 0)
                     s = s[np.argsort(count, kind="stable")]
-                held.append((s[:take], np.full(take, ids[i]), np.full(take, m, np.int32), np.arange(take, dtype=np.int32)))
+                s = s[:take]
+                held.append((s, np.full(len(s), ids[i]), np.full(len(s), m, np.int32)))
             if sum(len(x[0]) for x in held) >= FLUSH:
                 yield from flush()
         if held:
@@ -147,17 +155,18 @@ def _prefixes(k: int, num: int, den: int, buckets: int, shared: Broadcast):
 
 
 def _lists(num: int, den: int):
-    """(group, id) of every list of two sets or more that can hold a link."""
+    """(list, id) of every index list of two sets or more. Lists are ordered by set size and
+    cut where no smaller set can qualify for a larger one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
         for batch in batches:
-            cols = [batch.column(c) for c in ("h", "ids", "n", "at")]
+            cols = [batch.column(c) for c in ("h", "ids", "n")]
             for i, key in enumerate(batch.column("bucket").to_pylist()):
                 mine[key].append(tuple(c[i].as_py() for c in cols))
         for key in list(mine):
             blobs = mine.pop(key)
-            h, ids, n, at = (np.concatenate([np.frombuffer(b[j], t) for b in blobs]) for j, t in enumerate((np.uint64, np.int64, np.int32, np.int32)))
+            h, ids, n = (np.concatenate([np.frombuffer(b[j], t) for b in blobs]) for j, t in enumerate((np.uint64, np.int64, np.int32)))
             del blobs
             order = np.argsort(h)
             same = h[order][1:] == h[order][:-1]
@@ -169,18 +178,12 @@ def _lists(num: int, den: int):
                 continue
             order = order[np.lexsort((n[order], h[order]))]
             hh, nn = h[order], n[order].astype(np.int64)
-            # a new list also where no smaller set of the shingle can qualify
             new = np.concatenate([[True], (hh[1:] != hh[:-1]) | (nn[:-1] * den < num * nn[1:])])
             edge = np.append(np.flatnonzero(new), len(new))
             size = np.diff(edge)
-            least = np.minimum.reduceat(ids[order], edge[:-1])
-            # positions: with the most that can follow, no pair of the list reaches the overlap
-            room = np.maximum.reduceat(nn - at[order], edge[:-1])
-            small = np.minimum.reduceat(nn, edge[:-1])
-            live = (size > 1) & (room * (num + den) >= num * 2 * small)
-            entry = np.repeat(live, size)
-            pairs = np.unique(np.stack([np.repeat(least, size)[entry], ids[order][entry]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["g", "id"])
+            name = np.repeat(mix(hh[edge[:-1]] + nn[edge[:-1]].astype(np.uint64)), size).view(np.int64)
+            live = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(name[live]), pa.array(ids[order][live])], ["list", "id"])
 
     return run
 
@@ -328,11 +331,15 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     classes = info.where("n > 0 and id is not null").groupBy("x", "y", "n").agg(F.min("id").alias("rep"))
     known = cut(info.join(classes, ["x", "y", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "classes")
     share = spark.sparkContext.broadcast
-    sent = base.mapInArrow(_prefixes(k, num, den, parts, share((hot_h, hot_n))), "bucket long, h binary, ids binary, n binary, at binary")
-    lists = sent.repartition(parts, "bucket").mapInArrow(_lists(num, den), "g long, id long").distinct()
-    rep = known.where("id is not null and n_shingles > 0").select("id", "rep").distinct()
-    lists = lists.join(rep, "id").select("g", F.col("rep").alias("id")).join(rep.select(F.col("id").alias("g"), F.col("rep").alias("r")), "g").select(F.col("r").alias("g"), "id").distinct()
-    lists = cut(lists, "lists")
+    sent = base.mapInArrow(_prefixes(k, num, den, parts, share((hot_h, hot_n))), "bucket long, h binary, ids binary, n binary")
+    entries = cut(sent.repartition(parts, "bucket").mapInArrow(_lists(num, den), "list long, id long"), "entries")
+    # sets that share too little with all others together have no link; the rest meet by list
+    sets = known.where("id is not null and n_shingles > 0").groupBy("id", "rep").agg(F.max("n_shingles").alias("n"))
+    need = F.greatest(F.lit(1), F.expr(f"ceil(n * {num} / {den}) * {den - num} div {2 * den}"))
+    live = entries.groupBy("id").agg(F.count("*").alias("c")).join(sets, "id").where(F.col("c") >= need).select("id", "rep")
+    listed = cut(entries.join(live, "id").select("list", "rep").distinct(), "listed")
+    heads = listed.groupBy("list").agg(F.min("rep").alias("g"), F.max("rep").alias("last")).where("g < last").select("list", "g")
+    lists = cut(listed.join(heads, "list").select("g", F.col("rep").alias("id")).distinct(), "lists")
     # a group larger than a block is cut into blocks; each pair of its blocks meets once
     sizes = known.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"))
     total = lists.join(sizes, "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
