@@ -11,7 +11,8 @@ Largest inner product becomes a nearest-neighbour search by one added coordinate
 sqrt(M^2 - |x|^2), which is 0 for unit vectors; queries are scaled to length M with 0 there.
 
 Queries (a stated part of the rows) meet all blocks in blocks of their own; each meeting
-answers with its k best, and a window keeps the k best of each query.
+answers with one blob of its k best, and the answers to a query block are merged as they
+come, so that only the best so far are held.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import cut, small_batches, table
@@ -141,9 +142,44 @@ def _meet(k: int, projections: int, share: float, need: float, top: float):
                     index, last = Index(vecs, top, projections), block
                 q_ids = np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64)
                 q_vecs = np.frombuffer(batch.column("q_vecs")[r].as_py(), np.float64).reshape(len(q_ids), -1)
-                rows = [(q, *index.search(ids, v, q, k, share, need)) for q, v in zip(q_ids.tolist(), q_vecs, strict=True)]
-                n = [len(x[1]) for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x[1] for x in rows])), pa.array(np.concatenate([x[2] for x in rows]))], ["query_id", "vec_id", "score"])
+                rows = [(np.full(k, i), *index.search(ids, v, q, k, share, need)) for i, (q, v) in enumerate(zip(q_ids.tolist(), q_vecs, strict=True))]
+                found = [np.concatenate([x[0][: len(x[1])] for x in rows]), np.concatenate([x[1] for x in rows]), np.concatenate([x[2] for x in rows])]
+                yield pa.RecordBatch.from_arrays([batch.column("asked").slice(r, 1), pa.array([q_ids.tobytes()], pa.binary()), *(pa.array([f.tobytes()], pa.binary()) for f in found)], ["asked", "q_ids", "query", "ids", "scores"])
+
+    return run
+
+
+def _best(k: int):
+    """The k best of each query of a query block; answers come sorted by block, and only the
+    best so far are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q_ids, held = None, None, []
+
+        def top() -> list[np.ndarray]:
+            q, v, s = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = rank < k
+            return [q[keep], v[keep], s[keep], rank[keep] + 1]
+
+        def told() -> pa.RecordBatch:
+            q, v, s, rank = top()
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                asked = batch.column("asked")[r].as_py()
+                if asked != last:
+                    if held:
+                        yield told()
+                    last, q_ids, held = asked, np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64), []
+                held.append([np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("query", np.int64), ("ids", np.int64), ("scores", np.float64))])
+                if len(held) >= 16:
+                    held = [top()[:3]]
+        if held:
+            yield told()
 
     return run
 
@@ -173,13 +209,14 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
     packed = v.select("id", "v").repartition(blocks, F.xxhash64("id")).mapInArrow(_blocks(2 * block), "ids binary, vecs binary")
     packed = cut(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
     asked = v.where("q").select("id", "v").repartition(q_blocks, F.xxhash64("id")).mapInArrow(_blocks(2 * QUERY_BLOCK), "q_ids binary, q_vecs binary")
+    asked = cut(asked.withColumn("asked", F.monotonically_increasing_id()), "asked")
     # every query block goes to every data block: the keys of the blocks, not their rows, are exploded
     keys = [r["block"] for r in packed.select("block").collect()]
-    asked = asked.select("q_ids", "q_vecs", F.explode(F.array(*[F.lit(x).cast("long") for x in keys])).alias("block"))
+    asked = asked.select("asked", "q_ids", "q_vecs", F.explode(F.array(*[F.lit(x).cast("long") for x in keys])).alias("block"))
     pairs = asked.join(packed, "block").repartition(max(1, len(keys)), "block").sortWithinPartitions("block")
-    found = pairs.mapInArrow(_meet(k, projections, share, need, float(sizes["top"])), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.mapInArrow(_meet(k, projections, share, need, float(sizes["top"])), "asked long, q_ids binary, query binary, ids binary, scores binary")
+    found = found.repartition(q_blocks, "asked").sortWithinPartitions("asked")
+    return found.mapInArrow(_best(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
