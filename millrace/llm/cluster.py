@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL = "/tmp/millrace-checkpoints"
 
@@ -33,14 +34,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files under ``df`` by the optimizer's statistics (an estimate)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files under ``df`` by the optimizer's statistics; where these are unknown
+    or a product over a join (a petabyte or more), the strings' bytes are summed instead."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 50:
+        return guess
+    texts = [F.coalesce(F.sum(F.octet_length(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return int(sum(df.agg(*texts).first())) if texts else 0
 
 
 def parts_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int:
     """Number of hash buckets: in proportion to the input, so that one bucket's share of the
     work stays the same at every size."""
-    return max(least, min(1 << 20, -(-input_bytes(df) // bytes_each)))
+    return max(least, -(-input_bytes(df) // bytes_each))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
