@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     hot_h, hot_n = hot_h[order], np.array([r["n"] for r in hot], np.int64)[order]
     info = survey.where("kind = 0").select("id", "n", "x", "y")
     classes = info.where("n > 0 and id is not null").groupBy("x", "y", "n").agg(F.min("id").alias("rep"))
-    known = cut(info.join(classes, ["x", "y", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep")), "classes")
+    known = cut(info.join(classes, ["x", "y", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
     share = spark.sparkContext.broadcast
     sent = base.mapInArrow(_prefixes(k, num, den, parts, share((hot_h, hot_n))), "bucket long, h binary, ids binary, n binary")
     entries = cut(sent.repartition(parts, "bucket").mapInArrow(_lists(num, den), "list long, id long"), "entries")
