@@ -23,6 +23,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .cluster import small_batches, table
 from .words import chunks
 
-REMEMBER = 400_000
+REMEMBER = 1_200_000
 LONG = 1024
 WORDS_AT_ONCE = 40_000
 TOKENS_AT_ONCE = 500_000
@@ -70,6 +71,18 @@ def read_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tuple(base64.b64decode(a) for a, _ in rows), tuple(int(b) for _, b in rows), pattern)
 
 
+class _Known(dict):
+    """Numbers of words in order of arrival; new ones are noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Codec:
     """One worker's DuckDB tables and remembered words."""
 
@@ -82,6 +95,8 @@ class Codec:
         left, right, to = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
         self._load("merges", pa.table({"l": left, "r": right, "m": to}))
         self._load("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "h": pa.array([t.hex() for t in self.ranks])}))
+        self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.valid[list(self.ranks.values())] = True
         self._forget()
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -90,12 +105,12 @@ class Codec:
         self.con.unregister("incoming")
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.flat: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new distinct words and remember them."""
+        """Encode new distinct words, in the order of their numbers."""
         raw = [w.encode() for w in words]
         got: list[np.ndarray | None] = [None] * len(raw)
         rest = []
@@ -118,9 +133,6 @@ class Codec:
             t, edge = out.column("t").to_numpy(), np.searchsorted(out.column("w").to_numpy(), np.arange(len(part) + 1))
             for j, i in enumerate(part):
                 got[i] = t[edge[j] : edge[j + 1]]
-        base = len(self.known)
-        for i, w in enumerate(words):
-            self.known[w] = base + i
         self.flat.append(np.concatenate(got))
         self.sizes.append(np.array([len(x) for x in got]))
 
@@ -149,21 +161,15 @@ class Codec:
         """(ids of all texts, first of each text and the end)."""
         if len(self.known) > REMEMBER:
             self._forget()
-        words, counts = [], []
-        for text in texts:
-            found = self.pattern.findall(text)
-            counts.append(len(found))
-            words += found
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None)))
-            at = list(map(self.known.get, words))
-        if len(self.flat) > 1:
-            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
-        word_end = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        if not at:
+        found = [self.pattern.findall(t) for t in texts]
+        word_end = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        if not word_end[-1]:
             return np.zeros(0, np.int32), word_end
-        at = np.array(at)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, word_end[-1])
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
         flat, size = self.flat[0], self.sizes[0]
         start = np.cumsum(size) - size
         n = size[at]
@@ -175,14 +181,14 @@ class Codec:
         """The bytes of each text; an id outside the vocabulary raises ValueError."""
         out: list[bytes] = []
         at, n = 0, len(first) - 1
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.valid) and self.valid[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
         while at < n:
             to = max(at + 1, int(np.searchsorted(first, first[at] + TOKENS_AT_ONCE, "right")) - 1)
             out += [b""] * (to - at)
             part = ids[first[at] : first[to]]
             d = np.repeat(np.arange(at, to, dtype=np.int64), np.diff(first[at : to + 1]))
             self._load("ids", pa.table({"d": d, "p": np.arange(len(part), dtype=np.int64), "id": part}))
-            if self.con.execute("SELECT count(*) FROM ids ANTI JOIN vocab USING (id)").fetchall()[0][0]:
-                raise ValueError("an id is not in the vocabulary")
             got = self.con.sql(_DECODE).to_arrow_table()
             for i, x in zip(got.column("d").to_pylist(), got.column("x").to_pylist(), strict=True):
                 out[i] = bytes.fromhex(x)
