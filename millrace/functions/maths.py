@@ -11,6 +11,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _finite(x: Column) -> Column:
@@ -53,7 +54,7 @@ def truthy(x: Column, kind: str = "double") -> Column:
     return (to_real(x) if kind == "string" else x.cast("double")) != 0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _round_exact(x: pd.Series, n: pd.Series) -> pd.Series:
     """Rounds the exact binary value: there are no ties but true ones."""
     step = {k: Decimal(1).scaleb(-int(k)) for k in n.dropna().unique()}
