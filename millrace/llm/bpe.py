@@ -9,8 +9,8 @@ entries, which is what merging by the rank of the joined bytes means.
 
 Decoding joins the ids with the vocabulary and concatenates bytes by an ordered aggregate.
 
-Distinct words repeat, so each worker remembers the words it has encoded, up to
-``REMEMBER``, then starts anew. Pretokens longer than ``LONG`` bytes (no natural text has
+Distinct words repeat, so a task remembers the words it has encoded, up to ``REMEMBER``, then
+starts anew; at its end it forgets them, because workers outlive tasks. Pretokens longer than ``LONG`` bytes (no natural text has
 them) take one recursion step a merge over all their rows, which is quadratic; they are
 merged by a heap instead, with the same result. One pass, no shuffle, DuckDB on one thread
 with bounded memory and no files.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import small_batches, table
-from .words import chunks
+from .words import chunks, release
 
 REMEMBER = 1_200_000
 LONG = 1024
@@ -109,6 +109,13 @@ class Codec:
         self.flat: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
 
+    def end(self) -> None:
+        """Free what a task has gathered."""
+        self._forget()
+        for name in ("start", "ids"):
+            self.con.execute(f"DROP TABLE IF EXISTS {name}")
+        release()
+
     def _learn(self, words: list[str]) -> None:
         """Encode new distinct words, in the order of their numbers."""
         raw = [w.encode() for w in words]
@@ -200,7 +207,7 @@ _CODECS: dict[int, Codec] = {}
 
 
 def _codec(vocabulary: Vocabulary) -> Codec:
-    """Kept for the life of a worker, so that tasks share tables and words."""
+    """Kept for the life of a worker, so that tasks share the tables."""
     key = hash(vocabulary)
     if key not in _CODECS:
         _CODECS.clear()
@@ -236,6 +243,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", dige
             else:
                 made.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], *(f"m{i}" for i in range(len(made)))])
+        codec.end()
 
     base = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     kinds = ("long", "string", "string") if digest else ("long", "array<int>")

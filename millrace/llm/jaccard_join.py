@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .cluster import cut, parts_for, small_batches, table
 from .components import components
-from .words import Words, chunks, int64s, mix, rolling
+from .words import Words, chunks, int64s, mix, release, rolling
 
 SHINGLE = 5
 HOT = 1 << 18
@@ -184,6 +184,7 @@ def _lists(num: int, den: int):
             name = np.repeat(mix(hh[edge[:-1]] + nn[edge[:-1]].astype(np.uint64)), size).view(np.int64)
             live = np.repeat(size > 1, size)
             yield pa.RecordBatch.from_arrays([pa.array(name[live]), pa.array(ids[order][live])], ["list", "id"])
+        release()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import parts_for, small_batches, table
-from .words import Words, chunks, delta, int64s, pack, undelta, unpack
+from .words import Words, chunks, delta, int64s, pack, release, undelta, unpack
 
 WIDTH = 13
 CHUNK_WINDOWS = 1 << 21
@@ -125,6 +125,7 @@ def _answer(groups: int):
             order = np.lexsort((at, ids))
             out = list(_split(_group(ids[order], groups), ids[order], tags[order], at[order]))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([pack(*_places(*x)) for _, x in out], pa.binary())], ["g", "blob"])
+        release()
 
     return run
 

@@ -10,6 +10,7 @@ bijective mixer; ``seed`` gives independent families.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,16 @@ class Words:
         return at, rolling(hashes, at, at + k, seed)
 
 
+def release() -> None:
+    """Give freed memory back: Python workers outlive their tasks and are reused."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each, at least one row."""
     for batch in batches:
@@ -120,6 +131,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(size, base + limit)))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 _CODEC = pa.Codec("zstd", compression_level=1)
