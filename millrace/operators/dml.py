@@ -51,8 +51,8 @@ def insert(df: DataFrame, rows: DataFrame, key: list[str] | None = None, on_conf
         return Change(df.unionByName(new), new)
     if on_conflict == "abort":
         seen = df.select(*key).unionAll(new.select(*key)).groupBy(*key).count().where("count > 1")
-        bad = seen.agg(F.count("*").alias("n"))
-        checked = new.crossJoin(F.broadcast(bad)).where(F.when(F.col("n") > 0, F.raise_error(F.lit("UNIQUE constraint failed")).cast("boolean")).otherwise(True)).drop("n")
+        bad = seen.agg(F.count("*").alias("_clashes"))
+        checked = new.crossJoin(F.broadcast(bad)).where(F.when(F.col("_clashes") > 0, F.raise_error(F.lit("UNIQUE constraint failed")).cast("boolean")).otherwise(True)).drop("_clashes")
         return Change(df.unionByName(checked), checked)
     last = on_conflict == "replace"
     new = _one_each(new, key, order, last)

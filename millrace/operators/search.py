@@ -89,6 +89,8 @@ def parse_match(query: str):
         if peek() is None:
             raise ValueError("MATCH: a term is missing")
         word = take()
+        if word in ("AND", "OR", "NOT", ")"):
+            raise ValueError(f"MATCH: {word} needs a term before it")
         if word == "(":
             inner = either()
             if peek() != ")":
