@@ -200,7 +200,7 @@ def _wanted(k: int, shared: Broadcast):
             keep = known & ((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).all(1)
             if not keep.any():
                 continue
-            for piece in chunks(iter([batch.filter(pa.array(keep))])):
+            for piece in chunks(iter([batch.filter(pa.array(keep))]), last=False):
                 sets = shingle_sets(piece, k)
                 blobs = [np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.array(blobs, pa.binary())], ["id", "set"])

@@ -140,7 +140,7 @@ def _cut(width: int, whole: bool):
         ids, tags, at = ids[order], tags[order], at[order]
         rows = []
         for batch in docs.to_batches():
-            for piece in chunks(iter([batch])):
+            for piece in chunks(iter([batch]), last=False):
                 own, known = int64s(piece, "id")
                 marks, _ = int64s(piece, "tag")
                 words = Words(piece.column("text"))

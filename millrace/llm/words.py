@@ -119,8 +119,9 @@ def release() -> None:
         pass  # another C library
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``limit`` bytes of text each, at least one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each, at least one row. With
+    ``last`` the batches are all of a task's, and memory is given back after them."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -131,7 +132,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(size, base + limit)))
             yield batch.slice(at, to - at)
             at = to
-    release()
+    if last:
+        release()
 
 
 _CODEC = pa.Codec("zstd", compression_level=1)
