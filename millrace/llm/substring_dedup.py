@@ -28,7 +28,7 @@ from .cluster import parts_for, small_batches, table
 from .words import Words, chunks, delta, int64s, pack, release, undelta, unpack
 
 WIDTH = 13
-CHUNK_WINDOWS = 1 << 21
+CHUNK_WINDOWS = 1 << 20
 _PRIME = 2147483647
 
 
@@ -175,9 +175,9 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "
     if width < 1:
         raise ValueError("width must be positive")
     small_batches(docs.sparkSession)
-    parts = parts_for(docs)
+    parts = parts_for(docs, 4 << 20)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("tag"), F.col(f"`{text_col}`").alias("text"))
-    sent = base.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary").repartition(parts, "kind", "key")
+    sent = base.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary").repartitionById(parts, F.col("key").cast("int"))
     answers = sent.mapInArrow(_answer(parts), "g long, blob binary")
     spread = F.pmod(F.coalesce("id", "tag"), F.lit(_PRIME)) * 48271
     keyed = base.withColumn("g", spread % F.lit(_PRIME) % F.lit(parts))
