@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 _LOCAL = "/tmp/millrace-checkpoints"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new name in the cluster's shared checkpoint folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a table in the cluster's shared checkpoint folder."""
+    """``df`` as a table in the shared folder."""
     spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
