@@ -36,7 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each Jaccard component (and rows without an id)."""
+    """The document of smallest id of each Jaccard component, and rows without an id; rows that
+    share an id stay or go together."""
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     gone = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -65,13 +65,13 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     out = out.withColumn("ls", split).withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"))
     text = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join(F.transform("stay", lambda i: F.get("ls", i)), "\n"))
     final = [text.alias(c) if f"c{i}" == t else F.col(f"c{i}").alias(c) for i, c in enumerate(cols)]
-    return out.select(*final, F.size("ls").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*final, F.size("ls").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest over all documents: doc_id, n_lines, n_removed, kept_sha256."""
     out = remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.when(F.col("n_removed") < 0, 0).otherwise(F.col("n_removed")).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = """

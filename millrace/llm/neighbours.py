@@ -195,7 +195,7 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
-    v = vectors.where(queries | F.lit(True)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
     v = v.groupBy("id").agg(F.min(F.struct("v", "q")).alias("x")).select("id", "x.v", "x.q")

@@ -21,20 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import parts_for, small_batches, table
-from .words import Words, chunks, delta, int64s, pack, release, undelta, unpack
+from .words import Words, chunks, delta, int64s, mix, pack, release, undelta, unpack
 
 WIDTH = 13
 CHUNK_WINDOWS = 1 << 20
-_PRIME = 2147483647
 
 
 def _group(ids: np.ndarray, groups: int) -> np.ndarray:
-    """A multiplicative congruence, which SQL can state too: see ``keyed`` below."""
-    return ids % _PRIME * 48271 % _PRIME % groups
+    return (mix(ids.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % groups
 
 
 def _split(keys: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -130,33 +129,54 @@ def _answer(groups: int):
     return run
 
 
+def _texts(groups: int):
+    """Blobs of rows (id, known, tag, text) by document bucket; packed together, texts take
+    about half of what single rows would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=8 << 20):
+            ids, known = int64s(batch, "id")
+            tags, _ = int64s(batch, "tag")
+            keys, blobs = [], []
+            texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
+            for g, (rows,) in _split(_group(np.where(known, ids, tags), groups), np.arange(len(ids))):
+                mine = texts.take(pa.array(rows))
+                sizes = np.asarray(pc.binary_length(mine), np.int64)
+                raw = np.frombuffer(b"".join(mine.to_pylist()), np.uint8)
+                keys.append(g)
+                blobs.append(pack(ids[rows], known[rows], tags[rows], sizes, raw))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["g", "blob"])
+
+    return run
+
+
 def _cut(width: int, whole: bool):
     """The texts of a document bucket with the answers about them."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         blobs = [unpack(x.as_py()) for x in answers.column("blob")]
         ids, tags, at = (np.concatenate([np.zeros(0, np.int64), *[undelta(p[i]).astype(np.int64) for p in blobs]]) for i in range(3))
+        del blobs
         order = np.lexsort((at, tags, ids))
         ids, tags, at = ids[order], tags[order], at[order]
         rows = []
-        for batch in docs.to_batches():
-            for piece in chunks(iter([batch]), last=False):
-                own, known = int64s(piece, "id")
-                marks, _ = int64s(piece, "tag")
-                words = Words(piece.column("text"))
-                raw = words.data.tobytes()
-                for r in range(piece.num_rows):
-                    a, b = int(words.first[r]), int(words.first[r + 1])
-                    lo, hi = np.searchsorted(ids, own[r]), np.searchsorted(ids, own[r], "right")
-                    places = at[lo:hi][tags[lo:hi] == marks[r]] if known[r] else at[:0]
-                    edge = np.zeros(b - a + 1, np.int32)
-                    np.add.at(edge, places, 1)
-                    np.add.at(edge, np.minimum(places + width, b - a), -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    keep = np.flatnonzero(~gone) + a
-                    kept = b" ".join([raw[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
-                    value = kept.decode() if whole else None
-                    rows.append((int(own[r]) if known[r] else None, int(marks[r]), b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), value))
+        for blob in docs.column("blob"):
+            own, known, marks, sizes, raw = unpack(blob.as_py())
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            words = Words(pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(raw)))
+            data = raw.tobytes()
+            for r in range(len(own)):
+                a, b = int(words.first[r]), int(words.first[r + 1])
+                lo, hi = np.searchsorted(ids, own[r]), np.searchsorted(ids, own[r], "right")
+                places = at[lo:hi][tags[lo:hi] == marks[r]] if known[r] else at[:0]
+                edge = np.zeros(b - a + 1, np.int32)
+                np.add.at(edge, places, 1)
+                np.add.at(edge, np.minimum(places + width, b - a), -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                keep = np.flatnonzero(~gone) + a
+                kept = b" ".join([data[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
+                value = kept.decode() if whole else None
+                rows.append((int(own[r]) if known[r] else None, int(marks[r]), b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), value))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "tag", "n_words", "n_removed", "kept_sha256", "kept"), cols, types, strict=True)})
@@ -179,9 +199,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("tag"), F.col(f"`{text_col}`").alias("text"))
     sent = base.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary").repartitionById(parts, F.col("key").cast("int"))
     answers = sent.mapInArrow(_answer(parts), "g long, blob binary")
-    spread = F.pmod(F.coalesce("id", "tag"), F.lit(_PRIME)) * 48271
-    keyed = base.withColumn("g", spread % F.lit(_PRIME) % F.lit(parts))
-    out = keyed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_cut(width, whole), "id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
+    texts = base.mapInArrow(_texts(parts), "g long, blob binary")
+    out = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_cut(width, whole), "id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if whole else []))
 
 
