@@ -43,6 +43,7 @@ HOT_LEAST = 16
 BLOCK_BYTES = 24 << 20
 BLOOM_BITS = 1 << 26
 FLUSH = 1 << 21
+ENTRIES = 1 << 19
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -146,7 +147,7 @@ def _prefixes(k: int, num: int, den: int, buckets: int, shared: Broadcast):
                     s = s[np.argsort(count, kind="stable")]
                 s = s[:take]
                 held.append((s, np.full(len(s), ids[i]), np.full(len(s), m, np.int32)))
-            if sum(len(x[0]) for x in held) >= FLUSH:
+            if sum(len(x[0]) for x in held) >= ENTRIES:
                 yield from flush()
         if held:
             yield from flush()

@@ -109,7 +109,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 9, seed: int
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
     filters = [rng.normal(0, 0.15, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = (y.sum() + 0.5) / (len(y) + 2)
     model = Model(emb, filters, np.zeros(len(WIDTHS) * FILTERS), float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return model
