@@ -2,7 +2,7 @@
 
 Spark's own recursive CTE refuses UNION. Each step joins only the rows that are new, takes
 away what has been seen by an anti join, and writes its new rows once, so the lineage does
-not grow with the number of steps.
+not grow with the number of steps. While steps find little, several share one job.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL = "/tmp/millrace-checkpoints"
+#: Steps in one job at most, and the number of new rows up to which jobs take more steps.
+DEEPEST, SMALL = 8, 10_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -43,23 +45,34 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: list
     rest = [c for c in cols if c not in key]
 
     def fresh(df: DataFrame) -> DataFrame:
-        return df.select(*cols).distinct() if not rest else df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[c if c in key else F.col(f"_r.{c}").alias(c) for c in cols])
+        """Each key once: its first level, and the least of the other columns."""
+        out = df.groupBy(*key).agg(F.min("_level").alias("_level"), *([F.min(F.struct(*rest)).alias("_r")] if rest else []))
+        return out.select(*[c if c in key else F.col(f"_r.{c}").alias(c) for c in cols], "_level")
 
-    frontier = written(fresh(start))
-    parts = [frontier]
-    for _ in range(max_steps):
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionAll(p)
-        new = fresh(step(frontier)).alias("n")
+    seen = written(fresh(start.select(*cols, F.lit(0).alias("_level"))).drop("_level"))
+    frontier, deep, steps, parts = seen, 1, 0, 1
+    while True:
+        # a few steps in one job while little is new: every level is expanded, so only rows
+        # first reached at the last one are still to be followed
+        level, levels = frontier, None
+        for i in range(1, deep + 1):
+            level = step(level.select(*cols)).select(*cols)
+            tagged = level.withColumn("_level", F.lit(i))
+            levels = tagged if levels is None else levels.unionAll(tagged)
         old = seen.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)])
         same = F.lit(True)
         for i, c in enumerate(key):
-            same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"_k{i}"))
-        frontier = written(new.join(old, same, "left_anti").select(*cols))
-        if frontier.isEmpty():
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        new = written(fresh(levels).join(old, same, "left_anti"))
+        n, last = new.agg(F.count("*"), F.count(F.when(F.col("_level") == deep, 1))).first()
+        steps, parts = steps + deep, parts + 1
+        if n:
+            seen = seen.unionAll(new.select(*cols))
+        if not last:
             return seen
-        parts.append(frontier)
-        if len(parts) >= 16:  # keep the plan small however many steps there are
-            parts = [written(seen.unionAll(frontier))]
-    raise RuntimeError(f"no fixpoint after {max_steps} steps")
+        if steps > max_steps:
+            raise RuntimeError(f"no fixpoint after {max_steps} steps")
+        frontier = new.where(F.col("_level") == deep).select(*cols)
+        if parts >= 16:  # keep the plan small however many steps there are
+            seen, parts = written(seen), 1
+        deep = min(2 * deep, DEEPEST) if n <= SMALL else 1
