@@ -24,9 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: the lineage ends here, and
-    a lost executor costs a re-read, not a recomputation."""
+    a lost executor costs a re-read, not a recomputation. ``files`` deals small results of
+    many tasks out again first, so that they do not become as many small files."""
+    if files:
+        df = df.repartition(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     small_batches(spark)
     parts = parts_for(docs)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    survey = cut(base.mapInArrow(_survey(k), "kind int, id long, n long, x long, y long"), "sets")
+    survey = cut(base.mapInArrow(_survey(k), "kind int, id long, n long, x long, y long"), "sets", max(2, parts // 8))
     hot = survey.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "x").limit(HOT).collect()
     hot_h = np.array([r["x"] for r in hot], np.int64).view(np.uint64)
     order = np.argsort(hot_h)
@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     known = cut(info.join(classes, ["x", "y", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
     share = spark.sparkContext.broadcast
     sent = base.mapInArrow(_prefixes(k, num, den, parts, share((hot_h, hot_n))), "bucket long, h binary, ids binary, n binary")
-    entries = cut(sent.repartitionById(parts, F.col("bucket").cast("int")).mapInArrow(_lists(num, den), "list long, id long"), "entries")
+    entries = cut(sent.repartitionById(parts, F.col("bucket").cast("int")).mapInArrow(_lists(num, den), "list long, id long"), "entries", max(2, parts // 8))
     # sets that share too little with all others together have no link; the rest meet by list
     sets = known.where("id is not null and n_shingles > 0").groupBy("id", "rep").agg(F.max("n_shingles").alias("n"))
     need = F.greatest(F.lit(1), F.expr(f"ceil(n * {num} / {den}) * {den - num} div {2 * den}"))
