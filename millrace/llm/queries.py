@@ -1,9 +1,10 @@
 """The queries and oracle SQL of this package, for the driver's entry file."""
 
-from . import bpe, decontamination, jaccard_join, line_dedup, neighbours, secrets, sharding, substring_dedup, toxicity
+from . import bpe, decontamination, fixity, jaccard_join, line_dedup, neighbours, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_merkle_audit": fixity.op2_merkle_audit,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_nearest": neighbours.op4_nearest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
