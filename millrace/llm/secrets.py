@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,8 +30,13 @@ ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 JWT = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
-KEY = r"(?:MI[A-Za-z0-9+/]|AAAA[A-Za-z0-9+/]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{20,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}"
+#: What may stand between the lines of a wrapped key: a line end, plain or escaped, and indents.
+BREAK = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
+#: How a key begins: MI (a DER sequence), AAAA (an SSH length) or an OpenSSH private key's magic.
+START = rf"M(?:{BREAK})?I|A(?:{BREAK})?A(?:{BREAK})?A(?:{BREAK})?A(?!AA)|b(?:{BREAK})?3(?:{BREAK})?B(?:{BREAK})?l(?:{BREAK})?b"
 HEXKEY = r"30[0-9A-Fa-f]{40,}"
+#: Base64 digits that a key has at least.
+LEAST = 23
 KINDS = ("assign", "access", "hex", "jwt", "key")
 
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
@@ -38,7 +44,11 @@ _ACCESS = re.compile(ACCESS)
 #: Runs shorter than 32 are dropped anyhow, and a run's leftmost match is the whole run.
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _JWT = re.compile(JWT)
-_KEY = re.compile(KEY)
+_START = re.compile(START)
+_BREAK = re.compile(BREAK)
+_RUN = re.compile(r"[A-Za-z0-9+/]+")
+#: Padding by the number of digits over four: a line break may precede it where it belongs.
+_PAD = [re.compile(x) for x in (r"={0,2}", r"={0,2}", rf"(?:(?:{BREAK})?=){{1,2}}(?!=)|={{0,2}}", rf"(?:{BREAK})?=(?!=)|={{0,2}}")]
 _HEXKEY = re.compile(HEXKEY)
 #: Literals without which no pattern of a group can match; RE2 tests them over whole columns.
 _GATES = {
@@ -46,7 +56,7 @@ _GATES = {
     "access": (r"AKIA[A-Z0-9]", False),
     "hex": (r"[0-9a-f]{32}", False),
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.", False),
-    "key": (r"MI[A-Za-z0-9+/]{21}|AAAA[A-Za-z0-9+/]{21}|b3BlbnNzaC1rZXkt|30[0-9A-Fa-f]{40}", False),
+    "key": (rf"(?:{START.replace('(?!AA)', '')})(?:(?:{BREAK})?[A-Za-z0-9+/]){{{LEAST - 4}}}|30[0-9A-Fa-f]{{40}}", False),
 }
 
 
@@ -82,6 +92,10 @@ def _der(data: bytes, at: int) -> tuple[int, int, int]:
     return tag, at, at + size
 
 
+def ssh_type(name: bytes) -> bool:
+    return re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name) is not None
+
+
 def ssh_ok(data: bytes) -> bool:
     """An SSH public key blob (length-prefixed fields, the first names the type) or the
     magic of an OpenSSH private key followed by such fields."""
@@ -92,7 +106,7 @@ def ssh_ok(data: bytes) -> bool:
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
             return False
-        if not private and not fields and not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", data[at + 4 : at + 4 + size]):
+        if not private and not fields and not ssh_type(data[at + 4 : at + 4 + size]):
             return False
         at, fields = at + 4 + size, fields + 1
     return fields >= 3 if private else fields >= 2 and at == len(data)
@@ -119,6 +133,97 @@ def jwt_ok(text: str) -> bool:
     return True
 
 
+class Block:
+    """Runs of ``digits`` joined over line breaks, read as one string from any digit on."""
+
+    def __init__(self, text: str, at: int, digits: re.Pattern[str]):
+        self.starts, self.ends, self.before, parts = [], [], [0], []
+        while run := digits.match(text, at):
+            self.starts.append(run.start())
+            self.ends.append(run.end())
+            parts.append(run[0])
+            self.before.append(self.before[-1] + len(run[0]))
+            gap = _BREAK.match(text, run.end())
+            at = gap.end() if gap else run.end()
+        self.digits, self.end = "".join(parts), self.ends[-1]
+
+    def offset(self, at: int) -> int:
+        """Digits before the one at ``at`` in the text."""
+        k = bisect.bisect_right(self.starts, at) - 1
+        return self.before[k] + at - self.starts[k]
+
+    def place(self, count: int) -> int | None:
+        """Where in the text the first ``count`` digits end, if a run ends there."""
+        k = bisect.bisect_left(self.before, count)
+        return self.ends[k - 1] if 0 < k < len(self.before) and self.before[k] == count else None
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins so, by its length field."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80 or len(head) < 2 + n:
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def ssh_sizes(data: bytes) -> list[int]:
+    """Sizes at which an SSH blob that begins so can end, the longest first."""
+    magic = b"openssh-key-v1\0"
+    out: list[int] = []
+    if data.startswith(magic):
+        at, left = len(magic), 3  # cipher, derivation and its options; then the public keys and one private part
+        while left and at + 4 <= len(data):
+            at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+            if left == 0 and not out and at + 4 <= len(data):
+                left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+                out.append(0)
+        # a cipher may add a tag of 16 bytes; other forms are taken whole, as far as they go
+        return ([at + 16, at] if not left and out and at <= len(data) else []) + [len(data)]
+    at, fields = 0, 0
+    while at + 4 <= len(data):
+        at, fields = at + 4 + int.from_bytes(data[at : at + 4], "big"), fields + 1
+        if at > len(data) or fields == 1 and not ssh_type(data[4:at]):
+            break
+        if fields >= 2:
+            out.append(at)
+    return out[::-1]
+
+
+def keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of base64 keys: the longest prefix of a candidate that parses and ends
+    where a run of digits ends, whatever lines follow."""
+    out: list[tuple[int, int]] = []
+    block, past, pos = None, 0, 0
+    while m := _START.search(text, pos):
+        at = m.start()
+        pos = at + 1
+        if at >= past:
+            block = Block(text, at, _RUN)
+            past = block.end
+        k = block.offset(at)
+        for size in _key_sizes(block.digits, k):
+            count = -(-size * 4 // 3)
+            end = block.place(k + count) if count >= LEAST else None
+            if end is not None and key_ok(block.digits[k : k + count]):
+                pos = _PAD[count % 4].match(text, end).end()
+                out.append((at, pos))
+                break
+    return out
+
+
+def _key_sizes(digits: str, k: int) -> list[int]:
+    head = digits[k : k + 16]
+    got = _decode(head[: len(head) // 4 * 4]) or b""
+    if got[:1] == b"\x30":
+        return [x] if (x := der_size(got)) else []
+    if not (got.startswith(b"openssh-key") or re.match(rb"\0{3}.(?:s|e)", got, re.DOTALL)):
+        return []
+    rest = len(digits) - k
+    return ssh_sizes(_decode(digits[k : k + rest - (rest % 4 == 1)]) or b"")
+
+
 def key_ok(text: str) -> bool:
     data = _decode(text)
     return data is not None and (der_ok(data) or ssh_ok(data))
@@ -140,7 +245,7 @@ def scan(text: str, gates: tuple[bool, ...] = (True,) * 5) -> list[tuple[int, in
     if gates[3]:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if jwt_ok(m[0])]
     if gates[4]:
-        out += [(m.start(), 4, m.end()) for m in _KEY.finditer(text) if key_ok(m[0])]
+        out += [(a, 4, b) for a, b in keys(text)]
         out += [(m.start(), 4, m.end()) for m in _HEXKEY.finditer(text) if hex_key_ok(m[0])]
     return sorted(set(out))
 
