@@ -4,7 +4,8 @@ Base spans come from three patterns (assigned values, access keys, long hex runs
 method then looks for encoded material: base64 or hex candidates are decoded and parsed.
 A span is reported only if its structure holds: a DER key whose nested lengths add up, an
 SSH public or private key whose length-prefixed fields fill it, or a signed token whose
-header decodes to a JSON object that names an algorithm. One pass, no shuffle.
+header decodes to a JSON object that names an algorithm. Candidates begin wherever the
+first digits fit the structure's first byte, in any length form or spacing. One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -29,14 +30,19 @@ from .words import chunks
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-JWT = r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
+#: How base64 of a JSON object begins, white space before its brace and after it included.
+OBJECT = r"(?:e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])[A-Za-z0-9_-]+"
+#: Every run with two more after it; the header may begin inside the first one.
+JWT = rf"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]+)(?=\.({OBJECT})\.([A-Za-z0-9_-]*))"
 #: What may stand between the lines of a wrapped key: a line end, plain or escaped, and indents.
 BREAK = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
-#: How a key begins: MI (a DER sequence), AAAA (an SSH length) or an OpenSSH private key's magic.
-START = rf"M(?:{BREAK})?I|A(?:{BREAK})?A(?:{BREAK})?A(?:{BREAK})?A(?!AA)|b(?:{BREAK})?3(?:{BREAK})?B(?:{BREAK})?l(?:{BREAK})?b"
-HEXKEY = r"30[0-9A-Fa-f]{40,}"
-#: Base64 digits that a key has at least.
+#: How a key begins: the two digits of a DER sequence's tag (the length may take any form),
+#: AAAA (an SSH length) or an OpenSSH private key's magic.
+START = rf"M(?:{BREAK})?[A-P]|A(?:{BREAK})?A(?:{BREAK})?A(?:{BREAK})?A(?!AA)|b(?:{BREAK})?3(?:{BREAK})?B(?:{BREAK})?l(?:{BREAK})?b"
+HEXSTART = rf"3(?:{BREAK})?0"
+#: Base64 digits, and hex digits, that a key has at least.
 LEAST = 23
+HEXLEAST = 42
 KINDS = ("assign", "access", "hex", "jwt", "key")
 
 _ASSIGN = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
@@ -49,14 +55,16 @@ _BREAK = re.compile(BREAK)
 _RUN = re.compile(r"[A-Za-z0-9+/]+")
 #: Padding by the number of digits over four: a line break may precede it where it belongs.
 _PAD = [re.compile(x) for x in (r"={0,2}", r"={0,2}", rf"(?:(?:{BREAK})?=){{1,2}}(?!=)|={{0,2}}", rf"(?:{BREAK})?=(?!=)|={{0,2}}")]
-_HEXKEY = re.compile(HEXKEY)
+_OBJECT = re.compile(OBJECT)
+_HEXSTART = re.compile(HEXSTART)
+_HEXRUN = re.compile(r"[0-9A-Fa-f]+")
 #: Literals without which no pattern of a group can match; RE2 tests them over whole columns.
 _GATES = {
     "assign": (r"(?:password|passwd|secret|token|api_?key)[\"']? *[:=]", True),
     "access": (r"AKIA[A-Z0-9]", False),
     "hex": (r"[0-9a-f]{32}", False),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.", False),
-    "key": (rf"(?:{START.replace('(?!AA)', '')})(?:(?:{BREAK})?[A-Za-z0-9+/]){{{LEAST - 4}}}|30[0-9A-Fa-f]{{40}}", False),
+    "jwt": (rf"{OBJECT}\.{OBJECT}\.", False),
+    "key": (rf"(?:{START.replace('(?!AA)', '')})(?:(?:{BREAK})?[A-Za-z0-9+/]){{{LEAST - 4}}}|{HEXSTART}(?:(?:{BREAK})?[0-9A-Fa-f]){{{HEXLEAST - 2}}}", False),
 }
 
 
@@ -120,17 +128,17 @@ def _decode(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def _json(part: str) -> object:
+    raw = _decode(part, True)
+    try:
+        return json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+
+
 def jwt_ok(text: str) -> bool:
-    head, body, _ = text.split(".", 2)
-    for part, must in ((head, True), (body, False)):
-        raw = _decode(part, True)
-        try:
-            got = json.loads(raw) if raw is not None else None
-        except (ValueError, RecursionError):
-            return False
-        if not isinstance(got, dict) or (must and not isinstance(got.get("alg"), str)):
-            return False
-    return True
+    head, body = map(_json, text.split(".", 2)[:2])
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
 class Block:
@@ -229,8 +237,37 @@ def key_ok(text: str) -> bool:
     return data is not None and (der_ok(data) or ssh_ok(data))
 
 
-def hex_key_ok(text: str) -> bool:
-    return len(text) % 2 == 0 and der_ok(bytes.fromhex(text))
+def hex_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of hex keys, by the same rules."""
+    out: list[tuple[int, int]] = []
+    block, past, pos = None, 0, 0
+    while m := _HEXSTART.search(text, pos):
+        at = m.start()
+        pos = at + 1
+        if at >= past:
+            block = Block(text, at, _HEXRUN)
+            past = block.end
+        k = block.offset(at)
+        head = block.digits[k : k + 12]
+        count = 2 * (der_size(bytes.fromhex(head[: len(head) // 2 * 2])) or 0)
+        end = block.place(k + count) if count >= HEXLEAST else None
+        if end is not None and der_ok(bytes.fromhex(block.digits[k : k + count])):
+            out.append((at, end))
+            pos = end
+    return out
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of signed tokens."""
+    out: list[tuple[int, int]] = []
+    for m in _JWT.finditer(text):
+        if (out and m.start() < out[-1][1]) or not isinstance(_json(m[2]), dict):
+            continue
+        for k in range(m.start(), m.end()):
+            if _OBJECT.match(text, k, m.end()) and jwt_ok(text[k : m.end(3)]):
+                out.append((k, m.end(3)))
+                break
+    return out
 
 
 def scan(text: str, gates: tuple[bool, ...] = (True,) * 5) -> list[tuple[int, int, int]]:
@@ -243,10 +280,10 @@ def scan(text: str, gates: tuple[bool, ...] = (True,) * 5) -> list[tuple[int, in
     if gates[2]:
         out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if gates[3]:
-        out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if jwt_ok(m[0])]
+        out += [(a, 3, b) for a, b in tokens(text)]
     if gates[4]:
         out += [(a, 4, b) for a, b in keys(text)]
-        out += [(m.start(), 4, m.end()) for m in _HEXKEY.finditer(text) if hex_key_ok(m[0])]
+        out += [(a, 4, b) for a, b in hex_keys(text)]
     return sorted(set(out))
 
 

@@ -48,6 +48,38 @@ def test_wrapped_keys(key, sep, width):
     assert found(f"-----BEGIN KEY-----{sep}{wrapped[:-4]}{sep}") == [] or key is PRIVATE
 
 
+ED_PRIVATE = tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, RAND[:32])))
+ED_PUBLIC = tlv(0x30, tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(3, b"\0" + RAND[:32]))
+EC_OIDS = (tlv(6, bytes.fromhex("2a8648ce3d0201")), tlv(6, bytes.fromhex("2a8648ce3d030107")))
+EC_PUBLIC = tlv(0x30, tlv(0x30, *EC_OIDS), tlv(3, b"\0\x04" + RAND[:64]))
+EC_PRIVATE = tlv(0x30, tlv(2, b"\1"), tlv(4, RAND[:32]), tlv(0xA0, EC_OIDS[1]), tlv(0xA1, tlv(3, b"\0\x04" + RAND[:64])))
+
+
+@pytest.mark.parametrize(("der", "head"), [(ED_PRIVATE, "MC4CAQAwBQYDK2Vw"), (ED_PUBLIC, "MCow"), (EC_PUBLIC, "MFkw"), (EC_PRIVATE, "MHcCAQEE")])
+def test_short_der_keys(der, head):
+    key = b64(der)
+    assert key.startswith(head)
+    for before in ("", "k=", "MAMBMCMD", "-----BEGIN KEY-----\\n", "-----BEGIN KEY-----\n"):
+        for after in ("", "\n-----END KEY-----", "\nNext line", " MI"):
+            assert found(before + key + after) == [key]
+            assert found(before + key.rstrip("=") + after) == [key.rstrip("=")]
+    assert found(key[:20] + key[24:]) == []
+    for text in (der.hex(), der.hex().upper(), "0x" + der.hex(), "cafe3001" + der.hex(), der.hex()[:64] + "\n  " + der.hex()[64:]):
+        assert any(text.endswith(x) and len(x) >= 2 * len(der) for x in found(text))
+
+
+@pytest.mark.parametrize("head", ['{"alg":"HS256"}', '{ "alg": "none" }', '{\n  "alg": "RS256"\n}', ' {"alg":"x"}', '\r\n\t{"alg":"x"}', '\n{"alg":"x"}'])
+@pytest.mark.parametrize("before", ["", "tok.", "eyJe0.eyI.", "Bearer "])
+def test_token_headers(head, before):
+    enc = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for body in ("{}", '{"sub":1}', '{\n"sub": 1}'):
+        token = f"{enc(head)}.{enc(body)}.c2ln"
+        gate = secrets.pc.match_substring_regex(secrets.pa.array([before + token]), secrets._GATES["jwt"][0])[0].as_py()
+        assert gate and [(before + token)[a:b] for a, k, b in secrets.scan(before + token) if k == 3] == [token]
+        assert secrets.tokens(f"{enc(json.dumps({'typ': 'JWT'}))}.{enc(body)}.c2ln") == []
+
+
 def test_long_runs_stay_cheap():
-    for text in ("MIIB" * 100_000, "A" * 400_000, ("MIIBAAAA" * 8 + "\n") * 8_000, "MIIBIj\n" * 50_000):
+    assert secrets.hex_keys("30" * 200_000) == [] and secrets.tokens("eyJ0" * 100_000 + ".x.y") == []
+    for text in ("MAMA" * 100_000, "MFkw" * 100_000, "MIIB" * 100_000, "A" * 400_000, ("MIIBAAAA" * 8 + "\n") * 8_000, "MIIBIj\n" * 50_000):
         assert secrets.keys(text) == []
