@@ -9,6 +9,9 @@ precision on the original vectors.
 
 Largest inner product becomes a nearest-neighbour search by one added coordinate,
 sqrt(M^2 - |x|^2), which is 0 for unit vectors; queries are scaled to length M with 0 there.
+That coordinate says little about direction, so it has to stay small: a block is cut into
+bands of nearly equal norm, each with its own M. Bands are met from the longest vectors on,
+and those whose bound |q| M is below the k-th score so far are skipped.
 
 Queries (a stated part of the rows) meet all blocks in blocks of their own; each meeting
 answers with one blob of its k best, and the answers to a query block are merged as they
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 from .cluster import cut, small_batches, table
 
 PROJECTIONS = 64
-SHARE = 0.08
+SHARE = 0.12
 NEED = 0.85
 GROWTH = 1.08
 BLOCK = 16384
 QUERY_BLOCK = 512
+#: Largest ratio of norms in a band, and vectors that a band has to have to be worth an index.
+BAND = 1.1
+LEAST = 256
 
 
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
@@ -94,12 +100,42 @@ class Index:
         self.level = level
         return hit
 
-    def search(self, ids: np.ndarray, q: np.ndarray, own: int, k: int, share: float, need: float) -> tuple[np.ndarray, np.ndarray]:
-        near = self.candidates(q, k + 1, share, need)
-        near = near[ids[near] != own]
-        score = np.einsum("ij,j->i", self.vectors[near], q)
-        best = np.lexsort((ids[near], -score))[:k]
-        return ids[near][best], score[best]
+
+class Bands:
+    """The vectors of one block in bands of falling norm. Where fewer than ``least`` are of
+    nearly equal norm, as many make a band that is verified whole."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, least: int = LEAST):
+        norms = _norms(vectors)
+        order = np.argsort(-norms, kind="stable")
+        ids, vectors, norms = ids[order], vectors[order], norms[order]
+        self.parts, at = [], 0
+        while at < len(ids):
+            end = int(np.searchsorted(-norms, -norms[at] / BAND, "right"))
+            index = end - at >= least
+            end = end if index else min(at + least, len(ids))
+            v = vectors[at:end]
+            self.parts.append((float(norms[at]), ids[at:end], v, Index(v / norms[at], 1.0, projections) if index else None))
+            at = end
+
+    def search(self, q: np.ndarray, own: int, k: int, share: float, need: float) -> tuple[np.ndarray, np.ndarray]:
+        size = _norms(q[None])[0]
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        for top, ids, vectors, index in self.parts:
+            if len(best) == k and size * top * (1 + 1e-9) < score[-1]:
+                break
+            near = np.arange(len(ids)) if index is None else index.candidates(q / size, k + 1, share, need)
+            near = near[ids[near] != own]
+            best = np.concatenate([best, ids[near]])
+            score = np.concatenate([score, np.einsum("ij,j->i", vectors[near], q)])
+            order = np.lexsort((best, -score))[:k]
+            best, score = best[order], score[order]
+        return best, score
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
 
 
 def _blocks(size: int):
@@ -130,19 +166,19 @@ def _blocks(size: int):
     return run
 
 
-def _meet(k: int, projections: int, share: float, need: float, top: float):
+def _meet(k: int, projections: int, share: float, need: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index, ids = None, None, None
+        last, bands = None, None
         for batch in batches:
             for r in range(batch.num_rows):
                 block = batch.column("block")[r].as_py()
                 if block != last:
                     ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
                     vecs = np.frombuffer(batch.column("vecs")[r].as_py(), np.float64).reshape(len(ids), -1)
-                    index, last = Index(vecs, top, projections), block
+                    bands, last = Bands(ids, vecs, projections), block
                 q_ids = np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64)
                 q_vecs = np.frombuffer(batch.column("q_vecs")[r].as_py(), np.float64).reshape(len(q_ids), -1)
-                rows = [(np.full(k, i), *index.search(ids, v, q, k, share, need)) for i, (q, v) in enumerate(zip(q_ids.tolist(), q_vecs, strict=True))]
+                rows = [(np.full(k, i), *bands.search(v, q, k, share, need)) for i, (q, v) in enumerate(zip(q_ids.tolist(), q_vecs, strict=True))]
                 found = [np.concatenate([x[0][: len(x[1])] for x in rows]), np.concatenate([x[1] for x in rows]), np.concatenate([x[2] for x in rows])]
                 yield pa.RecordBatch.from_arrays([batch.column("asked").slice(r, 1), pa.array([q_ids.tobytes()], pa.binary()), *(pa.array([f.tobytes()], pa.binary()) for f in found)], ["asked", "q_ids", "query", "ids", "scores"])
 
@@ -199,8 +235,8 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
     v = v.groupBy("id").agg(F.min(F.struct("v", "q")).alias("x")).select("id", "x.v", "x.q")
-    v = cut(v.withColumn("n2", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
-    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("n2").alias("top"), F.count(F.when(F.col("q"), 1)).alias("q")).orderBy(F.desc("n"), "d").first()
+    v = cut(v, "vectors")
+    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = v.where(F.size("v") == sizes["d"])
@@ -214,7 +250,7 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
     keys = [r["block"] for r in packed.select("block").collect()]
     asked = asked.select("asked", "q_ids", "q_vecs", F.explode(F.array(*[F.lit(x).cast("long") for x in keys])).alias("block"))
     pairs = asked.join(packed, "block").repartition(max(1, len(keys)), "block").sortWithinPartitions("block")
-    found = pairs.mapInArrow(_meet(k, projections, share, need, float(sizes["top"])), "asked long, q_ids binary, query binary, ids binary, scores binary")
+    found = pairs.mapInArrow(_meet(k, projections, share, need), "asked long, q_ids binary, query binary, ids binary, scores binary")
     found = found.repartition(q_blocks, "asked").sortWithinPartitions("asked")
     return found.mapInArrow(_best(k), "query_id long, rank int, vec_id long, score double")
 

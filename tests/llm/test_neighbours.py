@@ -41,3 +41,23 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 7, 1.0), (0, 2, 20, 1.0), (0, 3, 1, 0.0), (20, 1, 7, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 1.0)]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.nearest(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("case", ["unit", "outlier", "uniform", "lognormal", "all lengths"])
+def test_recall_on_unequal_norms(spark, case):
+    rng = np.random.default_rng(4)
+    n = 4000
+    vecs = rng.standard_normal((n, 64))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    one, outlier = np.ones(n), np.where(np.arange(n) == 777, 10.0, 1.0)
+    vecs *= {"unit": one, "outlier": outlier, "uniform": rng.uniform(0.3, 2, n), "lognormal": rng.lognormal(0, 0.3, n), "all lengths": 10 ** rng.uniform(-90, 90, n)}[case][:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 40 == 0, k=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in range(0, n, 40):
+        score = vecs @ vecs[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (20 * (n // 40)) >= 0.9
