@@ -18,6 +18,9 @@ from millrace.llm.cluster import cut, table
 #: Every stage but the last returns these, whatever else the input has.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Words of a line that goes as a repeat wherever it stands; shorter ones need a second line.
+LONG_LINE = 50
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under their language's threshold; the model is fitted on
@@ -27,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line runs that an earlier place has; a document of which nothing
-    is left goes, one that had no lines to begin with stays."""
-    out = line_dedup.remove_repeated_runs(docs.select(*COLUMNS))
+    """Documents without the line runs, and the single lines of ``LONG_LINE`` words or more,
+    that an earlier place has; a document of which nothing is left goes, one that had no
+    lines to begin with stays."""
+    out = line_dedup.remove_repeated_runs(docs.select(*COLUMNS), alone=LONG_LINE)
     left = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))) > 0
     out = out.where((F.col("n_removed") == 0) | left)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -20,15 +20,25 @@ from pyspark.sql import functions as F
 from .cluster import table
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
+def _words(line: F.Column) -> F.Column:
+    return F.size(F.filter(F.split(line, r"[ \t\r\x0B\f]+", -1), lambda x: x != ""))
+
+
+def _windows(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     """(id, rk, i, lines, fp, key): one row for each window, made without a shuffle."""
-    lines = F.transform(F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")))
+    long = (lambda x: _words(x) >= alone) if alone else lambda x: F.lit(False)
+    lines = F.transform(F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")))
     kept = F.filter(lines, lambda x: x["h"].isNotNull())
     rows = docs.where(F.col("id").isNotNull()).select("id", "rk", kept.alias("hs"))
     rows = rows.where(F.size("hs") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("hs") - run, F.lit(0)))
-    rows = rows.select("id", "rk", "hs", F.explode(starts).alias("i"))
-    rows = rows.select("id", "rk", "i", F.slice("hs", F.col("i") + 1, F.lit(run)).alias("w"))
+    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(run).alias("n")))
+    if alone and run > 1:
+        # a long line is a window of its own, with the key of a document that has no other line
+        single = F.filter(F.transform("hs", lambda x, i: F.struct(i.alias("i"), x["long"].alias("long"))), lambda x: x["long"])
+        windows = F.concat(windows, F.transform(single, lambda x: F.struct(x["i"].alias("i"), F.lit(1).alias("n"))))
+    rows = rows.select("id", "rk", "hs", F.explode(windows).alias("x")).select("id", "rk", "hs", "x.i", "x.n")
+    rows = rows.select("id", "rk", "i", F.slice("hs", F.col("i") + 1, F.col("n")).alias("w"))
     return rows.select(
         "id", "rk", "i", F.col("w.at").alias("lines"),
         F.array_min(F.transform("w", lambda x: F.xxhash64(x["h"]))).alias("fp"),
@@ -36,26 +46,29 @@ def _windows(docs: DataFrame, run: int) -> DataFrame:
     )
 
 
-def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with the kept text in ``text_col``, and with ``n_lines`` and ``n_removed``.
 
     Lines are split at ``\\n``; blank lines (white space only) are never matched or removed.
     A window is ``run`` consecutive non-blank lines of one document, or all of them where
     there are fewer. A window goes if an equal one starts earlier, in (id, line) order;
-    lines covered by no such window stay, in order. Rows with a null id are kept whole and
+    lines covered by no such window stay, in order. With ``alone``, every line of at least
+    so many words is a window too, whatever stands around it. Rows with a null id are kept whole and
     are no one's earlier place. Rows of equal id and text get equal results. Null texts
     stay null, with one empty line. Other columns, whatever their names, pass unchanged;
     ``n_lines`` and ``n_removed`` are replaced.
     """
     if run < 1:
         raise ValueError("run must be positive")
+    if alone is not None and alone < 1:
+        raise ValueError("alone must be positive")
     cols = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     if id_col not in cols or text_col not in cols:
         raise ValueError("id and text columns are needed")
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     k, t = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
     base = base.withColumn("rk", F.xxhash64(t))
-    win = _windows(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run)
+    win = _windows(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run, alone)
     first = win.groupBy("fp", "key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = win.join(first, ["fp", "key"]).where(F.struct("id", "i") > F.col("first"))
     gone = later.groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
