@@ -1,15 +1,15 @@
 """Removal of line runs that an earlier document, or an earlier place, already has.
 
-Winnowing over line hashes. Every window of ``run`` consecutive non-blank lines selects the
-line of least hash as its fingerprint, so any two places that share a run of at least
-``run`` lines share a fingerprint. Windows with the same fingerprint are compared by the
-lines around it, both ways (their content key), the earliest place of each key is kept, and
-all lines of later windows go. Consecutive windows chain, so a later run is removed at its
-full length, however long it is.
-
-DataFrame functions only. Fingerprints are never paired: an aggregate with map-side
-combination finds the earliest place of each repeated key, and one equi-join (which AQE can
-split) marks the later ones.
+Exact window hashing: every window of ``run`` consecutive non-blank lines has the hash of its
+lines as key, the earliest place of each key is kept, and all lines of later windows go.
+Consecutive windows chain, so a later run is removed at its full length, however long it is.
+This replaces winnowing, which keeps the line of least hash of each window and extends matches
+both ways: at windows of two lines two thirds of the lines are expected to be such minima, and
+the extension needs row joins. No minima are selected here.
+
+DataFrame functions only. Windows are never paired: an aggregate with map-side combination
+finds the earliest place of each repeated key, and one equi-join (which AQE can split) marks
+the later ones.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _words(line: F.Column) -> F.Column:
 
 
 def _windows(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
-    """(id, rk, i, lines, fp, key): one row for each window, made without a shuffle."""
+    """(id, rk, i, lines, key): one row for each window, made without a shuffle."""
     long = (lambda x: _words(x) >= alone) if alone else lambda x: F.lit(False)
     lines = F.transform(F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")))
     kept = F.filter(lines, lambda x: x["h"].isNotNull())
@@ -41,7 +41,6 @@ def _windows(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     rows = rows.select("id", "rk", "i", F.slice("hs", F.col("i") + 1, F.col("n")).alias("w"))
     return rows.select(
         "id", "rk", "i", F.col("w.at").alias("lines"),
-        F.array_min(F.transform("w", lambda x: F.xxhash64(x["h"]))).alias("fp"),
         F.unhex(F.md5(F.concat(*[F.coalesce(F.get("w", F.lit(k))["h"], F.lit(b"")) for k in range(run)]))).alias("key"),
     )
 
@@ -69,8 +68,8 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     k, t = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
     base = base.withColumn("rk", F.xxhash64(t))
     win = _windows(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run, alone)
-    first = win.groupBy("fp", "key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = win.join(first, ["fp", "key"]).where(F.struct("id", "i") > F.col("first"))
+    first = win.groupBy("key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = win.join(first, "key").where(F.struct("id", "i") > F.col("first"))
     gone = later.groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
     gone = gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone")
     out = base.join(gone, (F.col(k) == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
