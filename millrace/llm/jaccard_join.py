@@ -191,7 +191,7 @@ def _lists(num: int, den: int):
 
 
 def _wanted(k: int, shared: Broadcast):
-    """(id, set) of the documents whose bits are set; six bytes a shingle."""
+    """(id, set) of the documents whose bits are set; eight bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -203,7 +203,7 @@ def _wanted(k: int, shared: Broadcast):
                 continue
             for piece in chunks(iter([batch.filter(pa.array(keep))]), last=False):
                 sets = shingle_sets(piece, k)
-                blobs = [np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+                blobs = [np.sort(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([piece.column("id").cast(pa.int64()), pa.array(blobs, pa.binary())], ["id", "set"])
 
     return run
@@ -290,7 +290,7 @@ def _join_groups(num: int, den: int):
     """The links of each (g, i, j); rows come sorted by it, so one group is held at a time."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        sets = [np.concatenate([x, np.zeros((len(x), 2), np.uint8)], 1).view(np.uint64).ravel() for x in (np.frombuffer(r[5], np.uint8).reshape(-1, 6) for r in rows)]
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
         across = rows[0][1] != rows[0][2]
         links = _overlap_links(sets, np.array([len(s) for s in sets], np.int64), num, den, np.array([r[3] for r in rows]) if across else None)
         return pa.RecordBatch.from_arrays([pa.array([rows[a][4] for a, _ in links], pa.int64()), pa.array([rows[b][4] for _, b in links], pa.int64())], ["a", "b"])
@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     # a group larger than a block is cut into blocks; each pair of its blocks meets once
     sizes = known.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"))
     total = lists.join(sizes, "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1")
-    total = total.select("g", F.ceil(F.col("n") * 6 / block_bytes).cast("int").alias("blocks"))
+    total = total.select("g", F.ceil(F.col("n") * 8 / block_bytes).cast("int").alias("blocks"))
     work = lists.join(total, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     work = work.select("g", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     work = cut(work.select("g", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "work")
