@@ -1,15 +1,18 @@
 """Removal of line runs that an earlier document, or an earlier place, already has.
 
-Exact window hashing: every window of ``run`` consecutive non-blank lines has the hash of its
-lines as key, the earliest place of each key is kept, and all lines of later windows go.
-Consecutive windows chain, so a later run is removed at its full length, however long it is.
-This replaces winnowing, which keeps the line of least hash of each window and extends matches
-both ways: at windows of two lines two thirds of the lines are expected to be such minima, and
-the extension needs row joins. No minima are selected here.
-
-DataFrame functions only. Windows are never paired: an aggregate with map-side combination
-finds the earliest place of each repeated key, and one equi-join (which AQE can split) marks
-the later ones.
+Winnowing over line hashes. Of every window of ``run`` consecutive non-blank lines the line
+of least hash (the last one, on ties) is selected, so two equal windows select equal lines at
+equal places: the selected hashes are fingerprints that no repeated run can be without, and
+neighbouring windows mostly share one. Each selected position is one row. Positions are
+joined by fingerprint, and those whose fingerprint stands nowhere else go at once. The rest
+are extended both ways, to every window whose minimum they are: a window's own hash tells
+whether the match goes on over all of its lines. Windows overlap, so extended matches chain
+and a later run is removed at its full length, however long it is.
+
+DataFrame functions only. The texts are cut into lines once; positions are written to the
+shared folder and read from there. Positions are never paired: aggregates with map-side
+combination find repeated fingerprints and the earliest place of each extension, and
+equi-joins on tables just written, which AQE can split, bring them back.
 """
 
 from __future__ import annotations
@@ -17,32 +20,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import table
+from .cluster import cut, table
 
 
 def _words(line: F.Column) -> F.Column:
     return F.size(F.filter(F.split(line, r"[ \t\r\x0B\f]+", -1), lambda x: x != ""))
 
 
-def _windows(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
-    """(id, rk, i, lines, key): one row for each window, made without a shuffle."""
+def positions(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
+    """(id, rk, fp, windows): one row for each selected position of each document, with the
+    windows (i, lines, key) of which it is the minimum; made without a shuffle."""
     long = (lambda x: _words(x) >= alone) if alone else lambda x: F.lit(False)
-    lines = F.transform(F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")))
-    kept = F.filter(lines, lambda x: x["h"].isNotNull())
-    rows = docs.where(F.col("id").isNotNull()).select("id", "rk", kept.alias("hs"))
+    lines = F.transform(
+        F.split(F.coalesce("t", F.lit("")), "\n", -1),
+        lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.xxhash64(x).alias("f"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")),
+    )
+    rows = docs.where(F.col("id").isNotNull()).select("id", "rk", F.filter(lines, lambda x: x["h"].isNotNull()).alias("hs"))
     rows = rows.where(F.size("hs") > 0)
+
+    def window(i: F.Column, n: F.Column) -> F.Column:
+        """One window; its position is negated, so that the last of equal minima is least."""
+        part = F.slice("hs", i + 1, n)
+        least = F.array_min(F.transform(part, lambda x, j: F.struct(x["f"].alias("f"), (-(i + j)).alias("p"))))
+        key = F.unhex(F.md5(F.aggregate(part, F.lit(b""), lambda a, x: F.concat(a, x["h"]))))
+        return F.struct(i.alias("i"), least.alias("least"), F.transform(part, lambda x: x["at"]).alias("lines"), key.alias("key"))
+
     starts = F.sequence(F.lit(0), F.greatest(F.size("hs") - run, F.lit(0)))
-    windows = F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(run).alias("n")))
+    rows = rows.withColumn("windows", F.transform(starts, lambda i: window(i, F.lit(run))))
+    # minima move only forwards, so the windows of one stand together: at most ``run`` of them
+    fresh = F.filter("windows", lambda x, k: (k == 0) | (F.get("windows", k - 1)["least"]["p"] != x["least"]["p"]))
+    found = F.transform(fresh, lambda x: F.struct(x["least"]["f"].alias("fp"), F.filter(F.slice("windows", x["i"] + 1, run), lambda y: y["least"]["p"] == x["least"]["p"]).alias("windows")))
     if alone and run > 1:
         # a long line is a window of its own, with the key of a document that has no other line
         single = F.filter(F.transform("hs", lambda x, i: F.struct(i.alias("i"), x["long"].alias("long"))), lambda x: x["long"])
-        windows = F.concat(windows, F.transform(single, lambda x: F.struct(x["i"].alias("i"), F.lit(1).alias("n"))))
-    rows = rows.select("id", "rk", "hs", F.explode(windows).alias("x")).select("id", "rk", "hs", "x.i", "x.n")
-    rows = rows.select("id", "rk", "i", F.slice("hs", F.col("i") + 1, F.col("n")).alias("w"))
-    return rows.select(
-        "id", "rk", "i", F.col("w.at").alias("lines"),
-        F.unhex(F.md5(F.concat(*[F.coalesce(F.get("w", F.lit(k))["h"], F.lit(b"")) for k in range(run)]))).alias("key"),
-    )
+        found = F.concat(found, F.transform(F.transform(single, lambda x: window(x["i"], F.lit(1))), lambda x: F.struct(x["least"]["f"].alias("fp"), F.array(x).alias("windows"))))
+    out = rows.select("id", "rk", F.explode(found).alias("x"))
+    return out.select("id", "rk", "x.fp", F.transform("x.windows", lambda y: F.struct(y["i"], y["lines"], y["key"])).alias("windows"))
 
 
 def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
@@ -67,11 +80,13 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     k, t = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
     base = base.withColumn("rk", F.xxhash64(t))
-    win = _windows(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run, alone)
-    first = win.groupBy("key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = win.join(first, "key").where(F.struct("id", "i") > F.col("first"))
-    gone = later.groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
-    gone = gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone")
+    places = cut(positions(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run, alone), "positions")
+    often = cut(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprints")
+    near = cut(places.join(often, "fp", "left_semi").select("id", "rk", F.explode("windows").alias("x")).select("id", "rk", "x.*"), "extensions")
+    first = near.groupBy("key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = near.join(cut(first, "earliest"), "key").where(F.struct("id", "i") > F.col("first"))
+    gone = later.groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    gone = cut(gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone"), "gone")
     out = base.join(gone, (F.col(k) == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
     split = F.split(F.coalesce(F.col(t), F.lit("")), "\n", -1)
     out = out.withColumn("ls", split).withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"))
