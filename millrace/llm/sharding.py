@@ -7,7 +7,9 @@ under a uniform permutation of all rows. Each partition is then permuted locally
 by its row of the matrix, the rows are exchanged, and each shard is permuted again.
 
 Everything that touches rows is DataFrame code. Only the P partition sizes reach the
-driver (P is about rows / 65,536), where the matrix is drawn.
+driver, where the matrix is drawn: P is rows / 65,536 until the matrix has ``CELLS`` cells
+(8 MB), which is the bound of what is collected and broadcast; beyond it partitions grow
+instead, and their local permutation is a sort, which spills.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from .cluster import cut, table
 
 ROWS_EACH = 65_536
+CELLS = 1 << 20
 
 
 def _hypergeometric(good: int, bad: int, draws: int, rng: np.random.Generator) -> int:
@@ -72,27 +75,42 @@ def communication_matrix(sizes: list[int], targets: list[int], seed: int) -> lis
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``u``, 0 to m - 1 for m rows that are equal in every column. Copies are
+    counted by input partition first and numbered inside it, so no task meets all of them."""
+    rows = cut(rows.select("*", F.xxhash64(*rows.columns).alias("v"), F.spark_partition_id().alias("q"), F.monotonically_increasing_id().alias("m")), "shard-input")
+    every = Window.partitionBy("v")
+    counts = rows.groupBy("v", "q").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(every.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    copies = counts.select("v", "q", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(every).alias("all")).where("all > 1")
+    out = rows.join(cut(copies.drop("all"), "shard-copies"), ["v", "q"], "left")
+    local = F.row_number().over(Window.partitionBy("v", "q").orderBy("m"))
+    u = F.when(F.col("before").isNull(), 0).otherwise(F.col("before") + local - 1)
+    return cut(out.withColumn("u", u.cast("long")).drop("v", "q", "m", "before"), "shard-rows")
+
+
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", rows_each: int = ROWS_EACH) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
     Shard sizes are ``n // shards`` or one more. Pass narrow rows: all columns of ``df`` are
-    written once and exchanged twice. Null ids are spread by a row number that is fixed when
-    the input is written; rows equal in every column are interchangeable, so the result is
-    the same whichever comes first. An empty table gives an empty result. Columns named
-    ``shard`` or ``slot`` in the input are replaced.
+    written once and exchanged. Rows equal in every column are numbered, and the number takes
+    part in all hashes: copies, null ids and repeated ids are spread like any other rows.
+    Equal rows are interchangeable, so the result does not depend on the order or the
+    partitions of the input. An empty table gives an empty result. Columns named
+    ``shard`` or ``slot`` in the input are replaced. ``id_col`` must exist; its values are not special.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = df.sparkSession
     cols = [c for c in df.columns if c not in ("shard", "slot")]
     base = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    key = f"c{cols.index(id_col)}"
-    base = base.withColumn("u", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
-    base = cut(base, "shard-input")
+    if id_col not in cols:
+        raise ValueError(f"no column {id_col}")
+    base = _numbered(base)
     every = [F.col(c) for c in base.columns]
     hashed = lambda k: F.xxhash64(F.lit(seed), F.lit(k), *every)
     n = base.count()
-    parts = max(1, -(-n // rows_each))
+    parts = max(1, min(-(-n // rows_each), CELLS // shards))
     base = base.withColumn("p", F.pmod(hashed(1), F.lit(parts)))
     sizes = {r["p"]: r["n"] for r in base.groupBy("p").agg(F.count("*").alias("n")).collect()}
     order = sorted(sizes)
