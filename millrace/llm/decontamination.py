@@ -1,7 +1,9 @@
 """Benchmark passages inside documents, by greedy string tiling.
 
-Documents and benchmark items first meet through shared seeds (five-word shingles, as
-hashes). For each document and item that share one, running Karp-Rabin greedy string tiling
+Documents and benchmark items first meet through shared seeds: runs of ``tile`` words, the
+least that a tile can have. All tiles of a pair lie on words that its shared seeds cover, so
+a pair whose seeds cover less than ``percent`` of the item cannot be a leak, and no other
+pair is put aside. For each one that is left, running Karp-Rabin greedy string tiling
 repeatedly marks the longest non-overlapping common runs of words, down to ``tile`` words,
 so reordered or interrupted passages still add up. An item is leaked where the tiles cover
 at least ``percent`` of its words.
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import small_batches, table
+from .cluster import table
 from .words import Words, chunks, int64s, rolling
 
-SEED_WORDS = 5
 TILE = 3
+#: Meetings of seeds that are held at once.
+MEETINGS = 1 << 20
 PERCENT = 80
 BLOCK_BYTES = 8 << 20
 _BREAK = np.ones(256, bool)
@@ -101,40 +104,78 @@ def _free(used: np.ndarray, size: int) -> np.ndarray:
 
 
 class Items:
-    """A block of the benchmark: seeds in order of hash, and each item's words."""
+    """A block of the benchmark: seeds in order of hash with the places of each, and each
+    item's words. A place counts the words of all items before it."""
 
-    def __init__(self, ids: list[int | None], texts: list[str], seed_words: int):
+    def __init__(self, ids: list[int | None], texts: list[str], tile: int):
         words, h = _words(pa.array(texts, pa.string()))
         self.ids = ids
+        self.first = words.first
         self.words = [h[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        self.sizes = sorted({min(seed_words, len(w)) for w in self.words} - {0})
-        pairs = []
-        for i, w in enumerate(self.words):
-            k = min(seed_words, len(w))
-            if k:
-                at = np.arange(len(w) - k + 1)
-                s = np.unique(rolling(w, at, at + k, 2))
-                pairs.append(np.stack([s, np.full(len(s), i, np.uint64)], 1))
-        both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
-        order = np.argsort(both[:, 0], kind="stable")
-        self.seeds, self.owner = both[order, 0], both[order, 1].astype(np.int64)
+        length = np.diff(words.first)
+        # an item shorter than a tile is its own seed
+        self.size = np.minimum(length, tile)
+        self.sizes = sorted(set(self.size.tolist()) - {0})
+        owner = np.repeat(np.arange(len(ids)), length)
+        at = np.arange(len(h))
+        at = at[at + self.size[owner] <= words.first[1:][owner]]
+        seeds = rolling(h, at, at + self.size[owner[at]], 2)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.place = seeds[order], at[order]
+        self.owner = owner
+
+
+def _meetings(d: np.ndarray, s: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, place) of every seed that a document shares, about ``MEETINGS`` at a time;
+    a document's meetings stay together."""
+    lo, hi = np.searchsorted(items.seeds, s), np.searchsorted(items.seeds, s, "right")
+    total = np.cumsum(hi - lo)
+    at = 0
+    while at < len(d):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MEETINGS)))
+        to = int(np.searchsorted(d, d[to - 1], "right"))
+        n = hi[at:to] - lo[at:to]
+        yield np.repeat(d[at:to], n), items.place[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = to
+
+
+def candidates(words: Words, h: np.ndarray, items: Items, percent: int) -> list[tuple[int, int]]:
+    """(document, item) of all pairs whose shared seeds cover ``percent`` of the item or more."""
+    docs, d, s = words.docs(), [], []
+    for k in items.sizes:
+        at, seeds = words.windows(h, k, 2)
+        lo = np.minimum(np.searchsorted(items.seeds, seeds), max(len(items.seeds) - 1, 0))
+        hit = items.seeds[lo] == seeds
+        d.append(docs[at[hit]])
+        s.append(seeds[hit])
+    if not d or not sum(map(len, d)):
+        return []
+    d, s = np.concatenate(d), np.concatenate(s)
+    order = np.lexsort((s, d))
+    d, s = d[order], s[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]))
+    out, n = [], max(1, len(items.owner))
+    for doc, place in _meetings(d[new], s[new], items):
+        # places in order: each covers words up to the next one of its item, at most a seed's
+        key = np.unique(doc * n + place)
+        doc, place = key // n, key % n
+        item = items.owner[place]
+        last = np.append((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True)
+        gap = np.append(place[1:] - place[:-1], 0)
+        covers = np.where(last, items.size[item], np.minimum(gap, items.size[item]))
+        start = np.flatnonzero(np.append(True, last[:-1]))
+        covered = np.add.reduceat(covers, start)
+        length = np.diff(items.first)[item[start]]
+        ok = 100 * covered >= percent * length
+        out += zip(doc[start][ok].tolist(), item[start][ok].tolist(), strict=True)
+    return sorted(out)
 
 
 def leaks(batch: pa.RecordBatch, items: Items, tile: int, percent: int) -> list[tuple]:
     words, h = _words(batch.column("text"))
-    docs, got = words.docs(), []
-    for k in items.sizes:
-        at, s = words.windows(h, k, 2)
-        lo = np.searchsorted(items.seeds, s)
-        hit = lo < len(items.seeds)
-        hit[hit] = items.seeds[lo[hit]] == s[hit]
-        d, seeds = docs[at[hit]], s[hit]
-        for doc, seed in set(zip(d.tolist(), seeds.tolist(), strict=True)):
-            a, b = np.searchsorted(items.seeds, np.uint64(seed)), np.searchsorted(items.seeds, np.uint64(seed), "right")
-            got += [(doc, int(i)) for i in items.owner[a:b]]
     ids, known = int64s(batch, "id")
     out = []
-    for doc, i in sorted(set(got)):
+    for doc, i in candidates(words, h, items, percent):
         tiles = greedy_tiles(items.words[i], h[words.first[doc] : words.first[doc + 1]], tile)
         size, covered = len(items.words[i]), sum(n for _, _, n in tiles)
         if 100 * covered >= percent * size:
@@ -142,18 +183,17 @@ def leaks(batch: pa.RecordBatch, items: Items, tile: int, percent: int) -> list[
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, tile: int = TILE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, item_words, covered_words, n_tiles) of every leaked item in every row.
 
     Words are runs of letters and digits with A-Z in lower case. Items with fewer than
-    ``seed_words`` words have themselves as their one seed; items and texts that are null or
+    ``tile`` words have themselves as their one tile; items and texts that are null or
     without words match nothing. Null ids are reported as null; a document row repeated is
     reported again, an item row repeated is not. An empty table on either side gives no rows.
     """
-    if seed_words < 1 or tile < 1 or not 1 <= percent <= 100:
-        raise ValueError("seed_words and tile must be positive, percent 1 to 100")
+    if tile < 1 or not 1 <= percent <= 100:
+        raise ValueError("tile must be positive, percent 1 to 100")
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -164,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
         shared = spark.sparkContext.broadcast(([r["i"] for r in part], [r["t"] for r in part]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(*shared.value, seed_words)
+            items = Items(*shared.value, tile)
             for batch in chunks(batches):
                 found = leaks(batch, items, tile, percent)
                 if found:
