@@ -8,6 +8,7 @@ first component) and noise, and all weights are trained by stochastic gradients.
 
 The classifier is fitted on the driver from a bounded sample of labelled documents: at most
 ``sample`` rows (``SAMPLE``), the ones of least hash of doc_id, whole texts, read in blocks.
+A fifth of them is kept back from training and calibrates the thresholds.
 Scores use the text alone. Language serves only to calibrate thresholds for filtering.
 Scoring is one pass without a shuffle; the model (about 1 MB) is broadcast.
 """
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import cut, small_batches, table
+from .cluster import cut, table
 from .words import Words, _codes, chunks, mix, rolling
 
 SAMPLE = 3000
+#: One of so many sampled rows is kept back from training, for the thresholds.
+KEEP_BACK = 5
 BUCKETS = 1 << 15
 DIM = 8
 FILTERS = 8
@@ -158,9 +161,9 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 9, seed: int
     return model
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 20) -> dict[str, float]:
-    """For each language, the cut with the fewest errors on the training rows, in the middle
-    of the gap it falls in; 0.5 where a language has fewer than ``least`` rows of a class."""
+def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list, least: int = 10) -> dict[str, float]:
+    """For each language, the cut with the fewest errors, in the middle of the gap it falls in;
+    0.5 where a language has fewer than ``least`` rows of a class."""
     out = {}
     names = np.array([x or "" for x in langs], object)
     for name in sorted(set(names)):
@@ -199,18 +202,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         ids.append((row["id"], row["y"], row["lang"], got))
     ids.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], len(r[3])))
     docs_, y, langs = [r[3] for r in ids], np.array([r[1] for r in ids], np.float64), [r[2] for r in ids]
-    model = train(docs_, y)
+    # thresholds come from scores of rows that the model which gave them has not seen
+    back = np.arange(len(docs_)) % KEEP_BACK == 0
     if len(docs_):
-        scores = np.array([_sigmoid(model.pooled(d, np.array([0, len(d)])).astype(np.float64) @ model.out + model.bias)[0] for d in docs_])
-        model.thresholds = calibrate(scores, y, langs)
-    return model
+        seen = train([d for d, b in zip(docs_, back, strict=True) if not b], y[~back])
+        scores = np.array([_sigmoid(seen.pooled(d, np.array([0, len(d)])).astype(np.float64) @ seen.out + seen.bias)[0] for d, b in zip(docs_, back, strict=True) if b])
+        seen.thresholds = calibrate(scores, y[back], [x for x, b in zip(langs, back, strict=True) if b])
+        return seen
+    return train(docs_, y)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the ``keep`` columns, and ``score``, one row for each row of ``docs``. Null and
     empty texts get the score of no words; null ids stay; repeated rows give repeated
     results."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in keep if c != text_col]
 
@@ -226,11 +231,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def rejected(docs: DataFrame, model: Model, lang_col: str = "lang") -> DataFrame:
-    """``docs`` with ``score`` and ``reject``: the score reaches its language's threshold
-    (0.5 for languages without one)."""
-    out = score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    """``docs`` with ``score`` and ``reject`` (columns of these names are replaced): the score
+    reaches its language's threshold (0.5 for languages without one, and without ``lang_col``)."""
+    out = score(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "score", "reject")))
     cuts = F.lit(0.5)
-    for name, value in model.thresholds.items():
+    for name, value in model.thresholds.items() if lang_col in docs.columns else ():
         cuts = F.when(F.coalesce(F.col(lang_col), F.lit("")) == name, value).otherwise(cuts)
     return out.withColumn("reject", F.col("score") >= cuts)
 
