@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL = "/tmp/millrace-checkpoints"
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a local one is set only where none is configured."""
+    """The folder that every executor sees. A local one stands in only where driver and
+    executors are one process; any other master without ``spark.checkpoint.dir`` is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = _LOCAL
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -32,8 +37,30 @@ def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         df = df.repartition(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.remove(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut`` made and that nothing reads any more."""
+    if getattr(df, "_cut_path", None) in _MADE:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has made; call it when the results that were built on
+    them have been written or collected, because results are computed only then."""
+    for path in list(_MADE):
+        _delete(spark, path)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -52,12 +79,5 @@ def parts_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows: long texts make the default of 10,000 too large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

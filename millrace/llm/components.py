@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, drop
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = cut(small.where("u <> v").distinct(), "edges")
+        before, e = e, cut(small.where("u <> v").distinct(), "edges")
+        drop(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(now) == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

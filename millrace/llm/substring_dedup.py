@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import parts_for, small_batches, table
+from .cluster import parts_for, table
 from .words import Words, chunks, delta, int64s, mix, pack, release, undelta, unpack
 
 WIDTH = 13
@@ -194,7 +194,6 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "
     """
     if width < 1:
         raise ValueError("width must be positive")
-    small_batches(docs.sparkSession)
     parts = parts_for(docs, 4 << 20)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("tag"), F.col(f"`{text_col}`").alias("text"))
     sent = base.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary").repartitionById(parts, F.col("key").cast("int"))
