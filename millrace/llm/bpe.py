@@ -10,17 +10,18 @@ entries, which is what merging by the rank of the joined bytes means.
 Decoding joins the ids with the vocabulary and concatenates bytes by an ordered aggregate.
 
 Distinct words repeat, so a task remembers the words it has encoded, up to ``REMEMBER``, then
-starts anew; at its end it forgets them, because workers outlive tasks. Pretokens longer than ``LONG`` bytes (no natural text has
-them) take one recursion step a merge over all their rows, which is quadratic; they are
-merged by a heap instead, with the same result. One pass, no shuffle, DuckDB on one thread
-with bounded memory and no files.
+starts anew; at its end it forgets them, because workers outlive tasks. One step a merge is
+quadratic in a word's length, so a word of more than ``LONG`` bytes contracts more in a step:
+all places of its pair of least rank, from the left, up to the first one whose new neighbours
+make a pair of lower rank, which is the one that the order of ranks puts next. The result is
+the same. One pass, no shuffle, DuckDB on one thread without files and with memory in
+proportion to the longest word.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -38,7 +39,7 @@ from .cluster import table
 from .words import chunks, release
 
 REMEMBER = 1_200_000
-LONG = 1024
+LONG = 256
 WORDS_AT_ONCE = 40_000
 TOKENS_AT_ONCE = 500_000
 _MERGE = """
@@ -52,6 +53,24 @@ WITH RECURSIVE s(w, p, t, live) AS (
    WHERE pp IS NULL OR k IS NULL OR pp <> k % 4294967296))
 SELECT w, t FROM s WHERE NOT live ORDER BY w, p
 """
+_MERGE_LONG = """
+WITH RECURSIVE s(w, p, t) USING KEY (w, p) AS (
+  SELECT w, p, t FROM start
+  UNION
+  (WITH pairs AS (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, lead(t, 2) OVER o AS t3, lag(t) OVER o AS t0, row_number() OVER o AS i
+                  FROM recurring.s WHERE t IS NOT NULL WINDOW o AS (PARTITION BY w ORDER BY p)),
+        hits AS (SELECT w, i, p, np, m, t0, t3 FROM pairs JOIN merges ON t = l AND nt = r),
+        best AS (SELECT w, min(m) AS m FROM hits GROUP BY w),
+        runs AS (SELECT h.*, h.i - row_number() OVER (PARTITION BY h.w ORDER BY h.i) AS run FROM hits h JOIN best b ON h.w = b.w AND h.m = b.m),
+        odd AS (SELECT w, i, p, np, m, t3, CASE WHEN lag(i) OVER (PARTITION BY w ORDER BY i) = i - 2 THEN m ELSE t0 END AS t0
+                FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY i) AS k FROM runs) WHERE k % 2 = 1),
+        stop AS (SELECT w, min(i) AS i FROM odd JOIN back b ON m = b.t AND CASE WHEN b.after THEN t3 ELSE t0 END = b.x GROUP BY w),
+        pick AS (SELECT odd.w, p, np, m FROM odd LEFT JOIN stop ON odd.w = stop.w WHERE stop.i IS NULL OR odd.i <= stop.i)
+   SELECT w, unnest([p, np]) AS p, unnest([m, NULL]) AS t FROM pick))
+SELECT w, t FROM s WHERE t IS NOT NULL ORDER BY w, p
+"""
+#: For each token, the neighbours with which it makes a token of lower rank.
+_BACK = "CREATE TABLE back AS SELECT l AS t, r AS x, true AS after FROM merges WHERE m < l UNION ALL SELECT r, l, false FROM merges WHERE m < r"
 _DECODE = "SELECT d, array_to_string(list(h ORDER BY p), '') AS x FROM ids JOIN vocab USING (id) GROUP BY d ORDER BY d"
 
 
@@ -94,6 +113,7 @@ class Codec:
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, to = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True)) if splits else (pa.array([], pa.int32()),) * 3
         self._load("merges", pa.table({"l": left, "r": right, "m": to}))
+        self.con.execute(_BACK)
         self._load("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "h": pa.array([t.hex() for t in self.ranks])}))
         self.valid = np.zeros(max(self.ranks.values()) + 1, bool)
         self.valid[list(self.ranks.values())] = True
@@ -120,49 +140,31 @@ class Codec:
         """Encode new distinct words, in the order of their numbers."""
         raw = [w.encode() for w in words]
         got: list[np.ndarray | None] = [None] * len(raw)
-        rest = []
+        short, long = [], []
         for i, b in enumerate(raw):
             whole = self.ranks.get(b)
             if whole is not None:
                 got[i] = np.array([whole], np.int32)
-            elif len(b) > LONG:
-                got[i] = self._by_heap(b)
             else:
-                rest.append(i)
-        for a in range(0, len(rest), WORDS_AT_ONCE):
-            part = rest[a : a + WORDS_AT_ONCE]
-            size = np.array([len(raw[i]) for i in part])
-            data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
-            w = np.repeat(np.arange(len(part), dtype=np.int32), size)
-            p = (np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            self._load("start", pa.table({"w": w, "p": p, "t": self.single[data]}))
-            out = self.con.sql(_MERGE).to_arrow_table()
-            t, edge = out.column("t").to_numpy(), np.searchsorted(out.column("w").to_numpy(), np.arange(len(part) + 1))
-            for j, i in enumerate(part):
-                got[i] = t[edge[j] : edge[j + 1]]
+                (long if len(b) > LONG else short).append(i)
+        parts = [(short[a : a + WORDS_AT_ONCE], _MERGE) for a in range(0, len(short), WORDS_AT_ONCE)] + [([i], _MERGE_LONG) for i in long]
+        self.con.execute(f"SET memory_limit = '{256 + max((len(raw[i]) for i in long), default=0) // 4096}MB'")
+        for part, sql in parts:
+            for i, ids in zip(part, self._contract([raw[i] for i in part], sql), strict=True):
+                got[i] = ids
         self.flat.append(np.concatenate(got))
         self.sizes.append(np.array([len(x) for x in got]))
 
-    def _by_heap(self, word: bytes) -> np.ndarray:
-        """The same contraction with a heap of (rank, position)."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if parts[i] else len(parts)
-            if not parts[i] or j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], b""
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            for a in (before[i], i):
-                b = after[a] if a >= 0 else len(parts)
-                if b < len(parts) and (r := self.ranks.get(parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-        return np.array([self.ranks[p] for p in parts if p], np.int32)
+    def _contract(self, raw: list[bytes], sql: str) -> list[np.ndarray]:
+        """The ids of each word by one of the recursions."""
+        size = np.array([len(b) for b in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+        p = (np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        self._load("start", pa.table({"w": w, "p": p, "t": self.single[data]}))
+        out = self.con.sql(sql).to_arrow_table()
+        t, edge = out.column("t").to_numpy(), np.searchsorted(out.column("w").to_numpy(), np.arange(len(raw) + 1))
+        return [t[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first of each text and the end)."""

@@ -226,9 +226,12 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode(empty, voc).count() == 0
     codec = bpe.Codec(voc)
     rng = np.random.default_rng(1)
-    for size in (3, 40, 300):  # the heap agrees with the recursion
-        word = "".join(rng.choice(list("etaoinshr"), size))
-        assert codec._by_heap(word.encode()).tolist() == enc._encode_single_piece(word.encode())
+    for size in (3, 40, 300, 2000):  # both recursions agree
+        for letters in ("etaoinshr", "a", "ab", "acgt", "漢字かな", "é ", "-=_"):
+            word = "".join(rng.choice(list(letters), size)).encode()
+            want = enc._encode_single_piece(word)
+            assert codec._contract([word], bpe._MERGE_LONG)[0].tolist() == want
+            assert size > 300 or codec._contract([word], bpe._MERGE)[0].tolist() == want
     with pytest.raises(ValueError):
         codec.decode(np.array([60_000], np.int32), np.array([0, 1]))
 
