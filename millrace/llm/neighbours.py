@@ -13,9 +13,14 @@ That coordinate says little about direction, so it has to stay small: a block is
 bands of nearly equal norm, each with its own M. Bands are met from the longest vectors on,
 and those whose bound |q| M is below the k-th score so far are skipped.
 
-Queries (a stated part of the rows) meet all blocks in blocks of their own; each meeting
-answers with one blob of its k best, and the answers to a query block are merged as they
-come, so that only the best so far are held.
+Queries (a stated part of the rows) meet all blocks in blocks of their own: a data block
+goes to one task, once, and the query blocks follow it there. Each meeting answers with one
+blob of its k best, and the answers to a query block are merged as they come, so that only
+the best so far are held.
+
+Collisions are counted over ranks, a projection at a time, rather than by walking the window
+in the sorted array: at the widths that recall needs, windows hold four fifths of an array,
+and walking them takes two to three times as long.
 """
 
 from __future__ import annotations
@@ -105,32 +110,33 @@ class Bands:
     """The vectors of one block in bands of falling norm. Where fewer than ``least`` are of
     nearly equal norm, as many make a band that is verified whole."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int, least: int = LEAST):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, projections: int, least: int = LEAST):
         norms = _norms(vectors)
         order = np.argsort(-norms, kind="stable")
-        ids, vectors, norms = ids[order], vectors[order], norms[order]
+        rows, ids, vectors, norms = rows[order], ids[order], vectors[order], norms[order]
         self.parts, at = [], 0
         while at < len(ids):
             end = int(np.searchsorted(-norms, -norms[at] / BAND, "right"))
             index = end - at >= least
             end = end if index else min(at + least, len(ids))
             v = vectors[at:end]
-            self.parts.append((float(norms[at]), ids[at:end], v, Index(v / norms[at], 1.0, projections) if index else None))
+            self.parts.append((float(norms[at]), rows[at:end], ids[at:end], v, Index(v / norms[at], 1.0, projections) if index else None))
             at = end
 
-    def search(self, q: np.ndarray, own: int, k: int, share: float, need: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: int, k: int, share: float, need: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, row numbers, scores) of the k best found, the row ``own`` left out."""
         size = _norms(q[None])[0]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for top, ids, vectors, index in self.parts:
+        best, number, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for top, rows, ids, vectors, index in self.parts:
             if len(best) == k and size * top * (1 + 1e-9) < score[-1]:
                 break
             near = np.arange(len(ids)) if index is None else index.candidates(q / size, k + 1, share, need)
-            near = near[ids[near] != own]
-            best = np.concatenate([best, ids[near]])
+            near = near[rows[near] != own]
+            best, number = np.concatenate([best, ids[near]]), np.concatenate([number, rows[near]])
             score = np.concatenate([score, np.einsum("ij,j->i", vectors[near], q)])
-            order = np.lexsort((best, -score))[:k]
-            best, score = best[order], score[order]
-        return best, score
+            order = np.lexsort((number, best, -score))[:k]
+            best, number, score = best[order], number[order], score[order]
+        return best, number, score
 
 
 def _norms(vectors: np.ndarray) -> np.ndarray:
@@ -138,49 +144,55 @@ def _norms(vectors: np.ndarray) -> np.ndarray:
     return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
 
 
-def _blocks(size: int):
-    """Rows of a partition as (ids, vectors) blobs of at most ``size`` vectors."""
+_BLOB = ["rows", "ids", "vecs"]
+
+
+def _blocks(size: int | None):
+    """Rows of a partition as blobs (row numbers, ids, vectors) of ``size`` vectors, or as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs = [], []
-        held = 0
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vecs).tobytes()], pa.binary())], ["ids", "vecs"])
-            ids.clear()
-            vecs.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held, strict=True)], _BLOB)
+            held.clear()
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                if held and held + part.num_rows > size:
+            for at in range(0, batch.num_rows, size or max(1, batch.num_rows)):
+                part = batch.slice(at, size or batch.num_rows)
+                if size and held and sum(len(x[0]) for x in held) + part.num_rows > size:
                     yield flush()
-                    held = 0
-                ids.append(np.asarray(part.column("id"), np.int64))
-                vecs.append(np.asarray(part.column("v").flatten(), np.float64))
-                held += part.num_rows
+                held.append((np.asarray(part.column("u"), np.int64), np.asarray(part.column("id"), np.int64), np.asarray(part.column("v").flatten(), np.float64)))
         if held:
             yield flush()
 
     return run
 
 
+def _unblob(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in _BLOB[:2])
+    return rows, ids, np.frombuffer(batch.column("vecs")[r].as_py(), np.float64).reshape(len(rows), -1)
+
+
 def _meet(k: int, projections: int, share: float, need: float):
+    """Each data block's row (``asked`` is -1) is followed by the query blocks that meet it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bands = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                block = batch.column("block")[r].as_py()
+                block, asked = batch.column("block")[r].as_py(), batch.column("asked")[r].as_py()
+                rows, ids, vecs = _unblob(batch, r)
+                if asked < 0:
+                    bands, last = Bands(rows, ids, vecs, projections), block
+                    continue
                 if block != last:
-                    ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
-                    vecs = np.frombuffer(batch.column("vecs")[r].as_py(), np.float64).reshape(len(ids), -1)
-                    bands, last = Bands(ids, vecs, projections), block
-                q_ids = np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64)
-                q_vecs = np.frombuffer(batch.column("q_vecs")[r].as_py(), np.float64).reshape(len(q_ids), -1)
-                rows = [(np.full(k, i), *bands.search(v, q, k, share, need)) for i, (q, v) in enumerate(zip(q_ids.tolist(), q_vecs, strict=True))]
-                found = [np.concatenate([x[0][: len(x[1])] for x in rows]), np.concatenate([x[1] for x in rows]), np.concatenate([x[2] for x in rows])]
-                yield pa.RecordBatch.from_arrays([batch.column("asked").slice(r, 1), pa.array([q_ids.tobytes()], pa.binary()), *(pa.array([f.tobytes()], pa.binary()) for f in found)], ["asked", "q_ids", "query", "ids", "scores"])
+                    continue  # no data there
+                found = [bands.search(v, u, k, share, need) for u, v in zip(rows.tolist(), vecs, strict=True)]
+                query = np.repeat(np.arange(len(rows)), [len(x[0]) for x in found])
+                cols = [query, *(np.concatenate([x[j] for x in found]) for j in range(3))]
+                yield pa.RecordBatch.from_arrays([batch.column("asked").slice(r, 1), pa.array([ids.tobytes()], pa.binary()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["asked", "q_ids", "query", "ids", "rows", "scores"])
 
     return run
 
@@ -193,15 +205,15 @@ def _best(k: int):
         last, q_ids, held = None, None, []
 
         def top() -> list[np.ndarray]:
-            q, v, s = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
+            q, v, u, s = (np.concatenate([h[i] for h in held]) for i in range(4))
+            order = np.lexsort((u, v, -s, q))
+            q, v, u, s = q[order], v[order], u[order], s[order]
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             keep = rank < k
-            return [q[keep], v[keep], s[keep], rank[keep] + 1]
+            return [q[keep], v[keep], u[keep], s[keep], rank[keep] + 1]
 
         def told() -> pa.RecordBatch:
-            q, v, s, rank = top()
+            q, v, _, s, rank = top()
             return pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(rank.astype(np.int32)), pa.array(v), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
@@ -211,9 +223,9 @@ def _best(k: int):
                     if held:
                         yield told()
                     last, q_ids, held = asked, np.frombuffer(batch.column("q_ids")[r].as_py(), np.int64), []
-                held.append([np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("query", np.int64), ("ids", np.int64), ("scores", np.float64))])
+                held.append([np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("query", np.int64), ("ids", np.int64), ("rows", np.int64), ("scores", np.float64))])
                 if len(held) >= 16:
-                    held = [top()[:3]]
+                    held = [top()[:4]]
         if held:
             yield told()
 
@@ -226,30 +238,33 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 20, id_col: str = "v
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part,
     as queries or as answers, nor do null ids. Only vectors of the most common length are
-    comparable; other lengths take no part either. Repeated rows of an id count once (the
-    first in order of components). With k rows or fewer, all are returned.
+    comparable; other lengths take no part either. Rows of equal id and vector count once;
+    rows that share an id but not the vector each ask and are found, a query being kept from
+    its own row alone. With k rows or fewer, all are returned.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
-    v = v.groupBy("id").agg(F.min(F.struct("v", "q")).alias("x")).select("id", "x.v", "x.q")
-    v = cut(v, "vectors")
+    v = v.groupBy("id", "v").agg(F.max("q").alias("q"))
+    v = cut(v.withColumn("u", F.monotonically_increasing_id()), "vectors")
     sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = v.where(F.size("v") == sizes["d"])
     blocks = max(1, -(-sizes["n"] // block))
     q_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
-    packed = v.select("id", "v").repartition(blocks, F.xxhash64("id")).mapInArrow(_blocks(2 * block), "ids binary, vecs binary")
-    packed = cut(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    asked = v.where("q").select("id", "v").repartition(q_blocks, F.xxhash64("id")).mapInArrow(_blocks(2 * QUERY_BLOCK), "q_ids binary, q_vecs binary")
+    blob = "rows binary, ids binary, vecs binary"
+    # dealt by row number, so that blocks are of even size whatever the ids
+    packed = v.select("u", "id", "v").repartition(blocks, F.xxhash64("u")).mapInArrow(_blocks(None), blob)
+    packed = cut(packed.select(F.spark_partition_id().alias("block"), F.lit(-1).cast("long").alias("asked"), *_BLOB), "blocks")
+    asked = v.where("q").select("u", "id", "v").repartition(q_blocks, F.xxhash64("u")).mapInArrow(_blocks(QUERY_BLOCK), blob)
     asked = cut(asked.withColumn("asked", F.monotonically_increasing_id()), "asked")
-    # every query block goes to every data block: the keys of the blocks, not their rows, are exploded
-    keys = [r["block"] for r in packed.select("block").collect()]
-    asked = asked.select("asked", "q_ids", "q_vecs", F.explode(F.array(*[F.lit(x).cast("long") for x in keys])).alias("block"))
-    pairs = asked.join(packed, "block").repartition(max(1, len(keys)), "block").sortWithinPartitions("block")
-    found = pairs.mapInArrow(_meet(k, projections, share, need), "asked long, q_ids binary, query binary, ids binary, scores binary")
+    # every query block goes to every data block: the numbers of the blocks, not their rows, are exploded
+    last = packed.agg(F.max("block")).first()[0]
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("block"), "asked", *_BLOB)
+    pairs = packed.unionByName(asked).repartitionById(last + 1, F.col("block")).sortWithinPartitions("block", "asked")
+    found = pairs.mapInArrow(_meet(k, projections, share, need), "asked long, q_ids binary, query binary, ids binary, rows binary, scores binary")
     found = found.repartition(q_blocks, "asked").sortWithinPartitions("asked")
     return found.mapInArrow(_best(k), "query_id long, rank int, vec_id long, score double")
 

@@ -61,3 +61,19 @@ def test_recall_on_unequal_norms(spark, case):
         score[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     assert hit / (20 * (n // 40)) >= 0.9
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [9.0, 0.0]), (20, [1.0, 0.0]), (20, [2.0, 0.0]), (20, [2.0, 0.0]), (7, [1.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 1.0, 2, "x", 3) for i, v in rows], "vec_id long, embedding array<float>, score double, rank int, rows string, u int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect())
+    # each of the two rows of 20 asks; exact copies count once
+    assert got == sorted([(20, 1, 5, 9.0), (20, 2, 20, 2.0), (20, 3, 5, 1.0), (20, 1, 5, 18.0), (20, 2, 5, 2.0), (20, 3, 7, 2.0)])
+
+
+def test_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    vecs = rng.standard_normal((900, 8))
+    df = spark.createDataFrame([(40 if i % 3 else i * 20, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=5, block=100).collect()
+    assert len(got) == 900 * 5
