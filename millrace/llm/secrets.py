@@ -2,7 +2,9 @@
 
 Base spans come from three patterns (assigned values, access keys, long hex runs). The
 method then looks for encoded material: base64 or hex candidates are decoded and parsed.
-A span is reported only if its structure holds: a DER key whose nested lengths add up, an
+A span is reported only if its structure holds: a DER key whose nested lengths add up and
+whose parts are those of a key format (PKCS#1, PKCS#8 plain or encrypted, SEC1, DSA, or a
+subject public key; certificates, signatures and other sequences are none), an
 SSH public or private key whose length-prefixed fields fill it, or a signed token whose
 header decodes to a JSON object that names an algorithm. Candidates begin wherever the
 first digits fit the structure's first byte, in any length form or spacing. One pass, no shuffle.
@@ -88,6 +90,52 @@ def der_ok(data: bytes, depth: int = 0) -> bool:
     return parts > 0 or depth > 0
 
 
+def der_parts(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of what the sequence ``data`` holds; ``data`` passes ``der_ok``."""
+    _, at, end = _der(data, 0)
+    out = []
+    while at < end:
+        tag, inner, stop = _der(data, at)
+        out.append((tag, data[inner:stop]))
+        at = stop
+    return out
+
+
+def _algorithm(part: tuple[int, bytes]) -> bytes | None:
+    """The object identifier that an algorithm sequence begins with."""
+    tag, body = part
+    if tag != 0x30 or len(body) < 3 or body[0] != 6 or 2 + body[1] > len(body):
+        return None
+    return body[2 : 2 + body[1]]
+
+
+#: The object identifiers 1.2.840.113549.1.1.1 (RSA) and 1.2.840.10045.2.1 (EC).
+RSA_OID = bytes.fromhex("2a864886f70d010101")
+EC_OID = bytes.fromhex("2a8648ce3d0201")
+
+
+def der_key(data: bytes) -> bool:
+    """Whether ``data`` is a DER element of a key format, by version, algorithm and parts."""
+    if not der_ok(data):
+        return False
+    parts = der_parts(data)
+    tags, body = [t for t, _ in parts], [b for _, b in parts]
+    small = body[0] in (b"\0", b"\1")
+    if set(tags) == {2}:
+        # RSA private, DSA private, or an RSA modulus and exponent: two shorter numbers are a signature
+        return len(tags) >= 9 and small or len(tags) == 6 and body[0] == b"\0" or len(tags) == 2 and len(body[0]) >= 64 and (len(body[1]) <= 8 or len(body[0]) >= 96)
+    if tags[:3] == [2, 0x30, 4]:
+        oid = _algorithm(parts[1])
+        if oid == RSA_OID and not (der_key(body[2]) and der_parts(body[2])[0][0] == 2):
+            return False
+        if oid == EC_OID and not der_key(body[2]):
+            return False
+        return small and oid is not None and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    if tags in ([0x30, 4], [0x30, 3]):
+        return _algorithm(parts[0]) is not None and (tags[1] == 4 or body[1][:1] == b"\0")
+    return tags[:2] == [2, 4] and body[0] == b"\1" and all(t in (0xA0, 0xA1) for t in tags[2:])
+
+
 def _der(data: bytes, at: int) -> tuple[int, int, int]:
     tag, size, at = data[at], data[at + 1], at + 2
     if size & 0x80:
@@ -234,7 +282,7 @@ def _key_sizes(digits: str, k: int) -> list[int]:
 
 def key_ok(text: str) -> bool:
     data = _decode(text)
-    return data is not None and (der_ok(data) or ssh_ok(data))
+    return data is not None and (der_key(data) or ssh_ok(data))
 
 
 def hex_keys(text: str) -> list[tuple[int, int]]:
@@ -251,7 +299,7 @@ def hex_keys(text: str) -> list[tuple[int, int]]:
         head = block.digits[k : k + 12]
         count = 2 * (der_size(bytes.fromhex(head[: len(head) // 2 * 2])) or 0)
         end = block.place(k + count) if count >= HEXLEAST else None
-        if end is not None and der_ok(bytes.fromhex(block.digits[k : k + count])):
+        if end is not None and der_key(bytes.fromhex(block.digits[k : k + count])):
             out.append((at, end))
             pos = end
     return out

@@ -83,3 +83,52 @@ def test_long_runs_stay_cheap():
     assert secrets.hex_keys("30" * 200_000) == [] and secrets.tokens("eyJ0" * 100_000 + ".x.y") == []
     for text in ("MAMA" * 100_000, "MFkw" * 100_000, "MIIB" * 100_000, "A" * 400_000, ("MIIBAAAA" * 8 + "\n") * 8_000, "MIIBIj\n" * 50_000):
         assert secrets.keys(text) == []
+
+
+INT = lambda n: tlv(2, RAND[:n])
+RSA_PRIVATE = tlv(0x30, tlv(2, b"\0"), *(INT(n) for n in (129, 3, 128, 64, 64, 64, 64, 64)))
+RSA_PKCS8 = tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, secrets.RSA_OID), tlv(5)), tlv(4, RSA_PRIVATE))
+EC_PKCS8 = tlv(0x30, tlv(2, b"\0"), tlv(0x30, *EC_OIDS), tlv(4, tlv(0x30, tlv(2, b"\1"), tlv(4, RAND[:32]))))
+ENCRYPTED = tlv(0x30, tlv(0x30, tlv(6, RAND[:9]), tlv(0x30, INT(8))), tlv(4, RAND[:200]))
+RSA_PUBLIC = tlv(0x30, INT(129), tlv(2, b"\1\0\1"))
+CERTIFICATE = tlv(0x30, tlv(0x30, tlv(0xA0, tlv(2, b"\2")), INT(8), tlv(0x30, tlv(6, RAND[:9]))), tlv(0x30, tlv(6, RAND[:9])), tlv(3, b"\0" + RAND[:128]))
+
+
+@pytest.mark.parametrize("der", [RSA_PRIVATE, RSA_PKCS8, EC_PKCS8, ENCRYPTED, RSA_PUBLIC, ED_PRIVATE, ED_PUBLIC, EC_PUBLIC, EC_PRIVATE])
+def test_key_formats(der):
+    assert found("x " + b64(der) + "\nend") == [b64(der)]
+    assert der.hex() in found(der.hex())[0]
+
+
+@pytest.mark.parametrize(
+    "der",
+    [
+        CERTIFICATE, tlv(0x30, tlv(0x0C, b"some plain text, no key")), tlv(0x30, INT(33), INT(32)), tlv(0x30, INT(66), INT(66)), tlv(0x30, tlv(4, RAND[:40])),
+        tlv(0x30, tlv(2, b"\0"), tlv(0x30, tlv(6, secrets.RSA_OID), tlv(5)), tlv(4, RAND[:60])), tlv(0x30, tlv(2, b"\7"), tlv(4, RAND[:40])), tlv(0x30, tlv(0x30, tlv(2, b"\1")), tlv(3, b"\0" + RAND[:32])),
+    ],
+)
+def test_other_sequences_are_no_keys(der):
+    assert secrets.der_ok(der) and found("x " + b64(der) + "\nend") == [] and found(der.hex()) == []
+
+
+def test_random_base64_is_no_key():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        assert found(b64(rng.randbytes(rng.randrange(20, 200)))) == []
+
+
+def test_base_spans_against_plain_code():
+    import random
+    import re
+
+    rng = random.Random(2)
+    bits = ["password", "Secret", "api_key", "apikey", "TOKEN", "=", ": ", " ", "'", "abcd1234", "x", "é", "AKIA", "ABCDEFGH12345678", "0123456789abcdef" * 2, "deadbeef", "\n", "==", "/+", "\u017f", "\u212a"]
+    for _ in range(2000):
+        text = "".join(rng.choices(bits, k=rng.randrange(0, 25)))
+        want = []
+        for i, (pattern, flags, least, group) in enumerate(((secrets.ASSIGN, re.A | re.I, 8, 2), (secrets.ACCESS, 0, 16, 0), (secrets.HEX, 0, 32, 0))):
+            want += [(m.start(), i, m.end()) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+        gates = tuple(secrets.pc.match_substring_regex(secrets.pa.array([text]), g, ignore_case=low)[0].as_py() for g, low in secrets._GATES.values())
+        assert [x for x in secrets.scan(text, gates) if x[1] < 3] == sorted(want)
