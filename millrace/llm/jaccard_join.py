@@ -234,9 +234,11 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 def _overlap_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links of a block (of the links across, with ``sides``).
 
-    Sets are taken by size. ``count`` holds the overlaps of the last computed set with all
-    others; the next set's are derived from it through the index lists of the shingles that
-    only one of the two has, or computed anew where that is shorter.
+    Sets are taken by size. ``count`` holds the overlaps of the last set with those before
+    it, from the first position whose size can qualify; the next set's are derived from it
+    through the index lists of the shingles that only one of the two has, or computed anew
+    where that is shorter. Index lists are in order of position, and of each list only the
+    block between the first position that can qualify and the set itself is read.
     """
     order = np.argsort(sizes, kind="stable")
     n = sizes[order]
@@ -244,7 +246,8 @@ def _overlap_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int
     owner = np.repeat(np.arange(len(order), dtype=np.int32), n)
     vocab, code = np.unique(flat, return_inverse=True)
     by = np.argsort(code, kind="stable")
-    lists, edge = owner[by], np.searchsorted(code[by], np.arange(len(vocab) + 1))
+    lists = owner[by]
+    place = code[by] * len(order) + lists  # sorted: by list, then by position
     own = np.split(code, np.cumsum(n)[:-1])
     parent = np.arange(len(order))
 
@@ -254,28 +257,32 @@ def _overlap_links(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int
             x = parent[x]
         return x
 
-    def counts(codes: np.ndarray) -> np.ndarray:
-        """How many of the codes each set has: their index lists, counted together."""
-        size = edge[codes + 1] - edge[codes]
-        if not size.sum():
-            return np.zeros(len(order), np.int64)
-        at = np.repeat(edge[codes] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(lists[at], minlength=len(order))
-
-    links, count, last = [], np.zeros(len(order), np.int64), None
-    low = np.searchsorted(n * den, num * n)  # the positions before hold sizes that cannot qualify: skipped
-    for x in range(len(order)):
-        if x == low[x]:
-            continue
-        mine, derived = own[x], False
-        if last is not None:
-            plus, minus = np.setdiff1d(mine, own[last], assume_unique=True), np.setdiff1d(own[last], mine, assume_unique=True)
-            derived = len(plus) + len(minus) < len(mine)
-        count = count + counts(plus) - counts(minus) if derived else counts(mine)
-        last = x
-        y = np.arange(low[x], x)
-        o = count[low[x] : x]
-        hit = y[o * den >= num * (n[x] + n[y] - o)]
+    def counts(codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """How many of the codes the sets at positions lo to hi - 1 have: blocks of their index
+        lists, counted together."""
+        a, b = np.searchsorted(place, codes * len(order) + lo), np.searchsorted(place, codes * len(order) + hi)
+        size = b - a
+        total = int(size.sum())
+        if not total:
+            return np.zeros(hi - lo, np.int64)
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(total)
+        return np.bincount(lists[at] - lo, minlength=hi - lo)
+
+    links, count, start = [], np.zeros(0, np.int64), 0
+    low = np.searchsorted(n * den, num * n).tolist()  # the positions before hold sizes that cannot qualify: skipped
+    for x, lo in enumerate(low):
+        if lo < x:
+            mine, last = own[x], own[x - 1]
+            plus, minus = np.setdiff1d(mine, last, assume_unique=True), np.setdiff1d(last, mine, assume_unique=True)
+            if len(plus) + len(minus) < len(mine):
+                count = count[lo - start :] + counts(plus, lo, x) - counts(minus, lo, x)
+            else:
+                count = counts(mine, lo, x)
+        else:
+            count = np.zeros(0, np.int64)
+        y = np.arange(lo, x)
+        hit = y[count * den >= num * (n[x] + n[y] - count)]
+        count, start = np.append(count, n[x]), lo  # a set shares all it has with itself
         if sides is not None:
             hit = hit[sides[order[hit]] != sides[order[x]]]
         for z in hit.tolist():
@@ -330,6 +337,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = SHINGLE, id_
     hot_h, hot_n = hot_h[order], np.array([r["n"] for r in hot], np.int64)[order]
     info = survey.where("kind = 0").select("id", "n", "x", "y")
     classes = info.where("n > 0 and id is not null").groupBy("x", "y", "n").agg(F.min("id").alias("rep"))
+    # both sides are tables, so that AQE can split the class that a third of all rows may be in
+    classes = cut(classes, "representatives")
     known = cut(info.join(classes, ["x", "y", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
     share = spark.sparkContext.broadcast
     sent = base.mapInArrow(_prefixes(k, num, den, parts, share((hot_h, hot_n))), "bucket long, h binary, ids binary, n binary")
