@@ -12,7 +12,8 @@ and a later run is removed at its full length, however long it is.
 DataFrame functions only. The texts are cut into lines once; positions are written to the
 shared folder and read from there. Positions are never paired: aggregates with map-side
 combination find repeated fingerprints and the earliest place of each extension, and
-equi-joins on tables just written, which AQE can split, bring them back.
+equi-joins on tables just written, which AQE can split, bring them back. All of these
+tables grow with the input, so none is broadcast, however small it is.
 """
 
 from __future__ import annotations
@@ -82,12 +83,12 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     base = base.withColumn("rk", F.xxhash64(t))
     places = cut(positions(base.select(F.col(k).alias("id"), "rk", F.col(t).alias("t")), run, alone), "positions")
     often = cut(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprints")
-    near = cut(places.join(often, "fp", "left_semi").select("id", "rk", F.explode("windows").alias("x")).select("id", "rk", "x.*"), "extensions")
+    near = cut(places.join(often.hint("merge"), "fp", "left_semi").select("id", "rk", F.explode("windows").alias("x")).select("id", "rk", "x.*"), "extensions")
     first = near.groupBy("key").agg(F.min(F.struct("id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = near.join(cut(first, "earliest"), "key").where(F.struct("id", "i") > F.col("first"))
+    later = near.join(cut(first, "earliest").hint("merge"), "key").where(F.struct("id", "i") > F.col("first"))
     gone = later.groupBy("id", "rk").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
     gone = cut(gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone"), "gone")
-    out = base.join(gone, (F.col(k) == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
+    out = base.join(gone.hint("merge"), (F.col(k) == F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
     split = F.split(F.coalesce(F.col(t), F.lit("")), "\n", -1)
     out = out.withColumn("ls", split).withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone"))
     text = F.when(F.col("gone").isNull(), F.col(t)).otherwise(F.array_join(F.transform("stay", lambda i: F.get("ls", i)), "\n"))
