@@ -14,6 +14,10 @@ from .strings import nocase, rtrim_key
 _KEYS: dict[str, Callable[[Column], Column]] = {"BINARY": lambda x: x, "NOCASE": nocase, "RTRIM": rtrim_key}
 
 
+#: Host keys by name, for SQL text.
+_RAW: dict[str, Callable[[str], bytes | str]] = {}
+
+
 def register(name: str, key: Callable[[str], bytes | str]) -> None:
     """A host collation by its sort key, which Spark can shuffle and sort on: an Arrow UDF
     makes the key once a row instead of calling back for every comparison."""
@@ -27,6 +31,7 @@ def register(name: str, key: Callable[[str], bytes | str]) -> None:
         return run(x)
 
     _KEYS[name.upper()] = make
+    _RAW[name.upper()] = key
 
 
 def collate(x: Column, name: str) -> Column:

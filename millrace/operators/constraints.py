@@ -45,12 +45,30 @@ def foreign_key(child: DataFrame, columns: list[str], parent: DataFrame, parent_
 
 @dataclass
 class ForeignKey:
+    """Columns are a name, or a list of names for a composite key."""
+
     child: str
-    column: str
+    column: str | list[str]
     parent: str
-    parent_column: str
+    parent_column: str | list[str]
     action: str = "restrict"  # restrict, cascade, set null
 
+    @property
+    def columns(self) -> list[str]:
+        return [self.column] if isinstance(self.column, str) else list(self.column)
+
+    @property
+    def parent_columns(self) -> list[str]:
+        return [self.parent_column] if isinstance(self.parent_column, str) else list(self.parent_column)
+
+    def of(self, child: DataFrame, parents: DataFrame, how: str) -> DataFrame:
+        """Child rows joined with the keys of some parents, which come as ``_p0``, ``_p1``..."""
+        keys = parents.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(self.parent_columns)]).distinct()
+        on = F.lit(True)
+        for i, c in enumerate(self.columns):
+            on = on & (F.col(c) == F.col(f"_p{i}"))
+        return child.join(keys, on, how)
+
 
 @dataclass
 class Cascade:
@@ -67,23 +85,27 @@ def delete_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], start:
         if level > depth:
             raise RuntimeError("foreign keys are nested too deeply")
         for k in [k for k in keys if k.parent == name and k.child == name and k.action == "cascade"]:
-            rows = fixpoint(rows, lambda new, k=k: out.tables[name].join(new.select(F.col(k.parent_column).alias("_p")), F.col(k.column) == F.col("_p"), "left_semi"))
-        pk = next((k.parent_column for k in keys if k.parent == name), None)
+            rows = fixpoint(rows, lambda new, k=k: k.of(out.tables[name], new, "left_semi"))
+        own_key = next((k for k in keys if k.parent == name), None)
         out.deleted[name] = rows
-        mark = rows.select(F.struct(*rows.columns).alias("_row")).distinct()
         own = out.tables[name]
-        out.tables[name] = own.join(rows.select(F.col(pk).alias("_p")).distinct(), F.col(pk) == F.col("_p"), "left_anti") if pk else own.join(mark, F.struct(*own.columns).eqNullSafe(F.col("_row")), "left_anti")
+        if own_key:
+            same = ForeignKey(name, own_key.parent_columns, name, own_key.parent_columns)
+            out.tables[name] = same.of(own, rows, "left_anti")
+        else:
+            mark = rows.select(F.struct(*rows.columns).alias("_row")).distinct()
+            out.tables[name] = own.join(mark, F.struct(*own.columns).eqNullSafe(F.col("_row")), "left_anti")
         for k in [k for k in keys if k.parent == name and k.child != name]:
-            gone = rows.select(F.col(k.parent_column).alias("_p")).distinct()
             child = out.tables[k.child]
-            hit = child.join(gone, F.col(k.column) == F.col("_p"), "left_semi")
+            hit = k.of(child, rows, "left_semi")
             if k.action == "cascade":
                 go(k.child, hit, level + 1)
             elif k.action == "set null":
-                marked = child.join(gone, F.col(k.column) == F.col("_p"), "left")
-                out.tables[k.child] = marked.withColumn(k.column, F.when(F.col("_p").isNull(), F.col(k.column))).drop("_p")
+                marked = k.of(child, rows, "left")
+                kept = [F.when(F.col("_p0").isNull(), F.col(c)).alias(c) if c in k.columns else F.col(c) for c in child.columns]
+                out.tables[k.child] = marked.select(*kept)
             elif not hit.isEmpty():
-                raise ValueError(f"FOREIGN KEY constraint failed: {k.child}.{k.column}")
+                raise ValueError(f"FOREIGN KEY constraint failed: {k.child}.{', '.join(k.columns)}")
 
     go(start, doomed, 0)
     return out

@@ -18,19 +18,24 @@ class Change:
     affected: DataFrame
 
 
-def _same(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
-    out = F.lit(True)
-    for k in key:
-        out = out & (a[k] == b[k])
-    return out
+ORDINAL = "_ordinal"
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with their order as proposed, fixed by writing them once."""
+    from .recursion import written
+
+    return written(rows.withColumn(ORDINAL, F.monotonically_increasing_id()), "rows")
 
 
 def with_defaults(df: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None, autofill: str | None = None) -> DataFrame:
-    """``rows`` with the columns of ``df``: absent ones take their default, and a NULL or
-    absent integer key continues from the greatest one, in no stated order. The numbering
-    counts rows by partition first and never gathers them in one task."""
+    """``rows`` with the columns of ``df`` (and their ordinal, if they have one): absent ones
+    take their default, and a NULL or absent integer key continues from the greatest one, in
+    no stated order. The numbering counts rows by partition first and never gathers them in
+    one task."""
     defaults = defaults or {}
-    out = rows.select(*[F.col(c) if c in rows.columns else defaults.get(c, F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    more = [ORDINAL] if ORDINAL in rows.columns else []
+    out = rows.select(*[F.col(c) if c in rows.columns else defaults.get(c, F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns], *more)
     if autofill is None:
         return out
     from .recursion import written
@@ -39,42 +44,114 @@ def with_defaults(df: DataFrame, rows: DataFrame, defaults: dict[str, Column] |
     counts = open_.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     given = out.where(F.col(autofill).isNotNull())
     top = df.select(autofill).unionAll(given.select(autofill)).agg(F.coalesce(F.max(autofill), F.lit(0)).alias("_top"))
-    numbered = open_.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_m"))).join(counts, "_p").crossJoin(top)
-    return given.unionByName(numbered.withColumn(autofill, (F.col("_top") + F.col("_before") + F.col("_r")).cast(df.schema[autofill].dataType)).select(*df.columns))
+    numbered_ = open_.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_m"))).join(counts, "_p").crossJoin(top)
+    return given.unionByName(numbered_.withColumn(autofill, (F.col("_top") + F.col("_before") + F.col("_r")).cast(df.schema[autofill].dataType)).select(*df.columns, *more))
 
 
-def insert(df: DataFrame, rows: DataFrame, key: list[str] | None = None, on_conflict: str = "abort", defaults: dict[str, Column] | None = None, autofill: str | None = None, order: list[Column] | None = None) -> Change:
-    """INSERT [OR ABORT | IGNORE | REPLACE]. Rows proposed twice count in ``order``: the
-    first stays for ignore, the last for replace; abort raises when an action runs."""
-    new = with_defaults(df, rows, defaults, autofill)
-    if not key:
-        return Change(df.unionByName(new), new)
+def _without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key none of the others has; a NULL in it never clashes."""
+    return rows.join(others.select(*key), key, "left_anti").select(*rows.columns)
+
+
+def _firsts(rows: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """Proposals kept one after another: each that clashes, on any key, with none kept before.
+    One pass where there is one key; else a pass keeps all that are first for each of their
+    keys, and the rest are held against those."""
+    from .recursion import written
+
+    out = None
+    while True:
+        first = F.lit(True)
+        for key in keys:
+            known = F.lit(True)
+            for c in key:
+                known = known & F.col(c).isNotNull()
+            first = first & (~known | (F.col(ORDINAL) == F.min(ORDINAL).over(Window.partitionBy(*key))))
+        marked = rows.withColumn("_first", first)
+        kept = marked.where("_first").drop("_first")
+        if len(keys) == 1:
+            return kept
+        marked = written(marked, "proposals")
+        kept, rows = marked.where("_first").drop("_first"), marked.where("not _first").drop("_first")
+        out = kept if out is None else out.unionByName(kept)
+        for key in keys:
+            rows = _without(rows, kept, key)
+        if rows.isEmpty():
+            return out
+
+
+def insert(df: DataFrame, rows: DataFrame, key: list[str] | None = None, on_conflict: str = "abort", defaults: dict[str, Column] | None = None, autofill: str | None = None, order: list[Column] | None = None, unique: list[list[str]] | None = None) -> Change:
+    """INSERT [OR ABORT | IGNORE | REPLACE], on the key and on all of ``unique``. Rows count in
+    ``order`` (as proposed, without one): ignore skips a row that clashes with one there or
+    kept before; replace takes away all that a row clashes with, so the last stays; abort
+    raises when an action runs."""
+    keys = [k for k in (key, *(unique or [])) if k]
+    if not keys:
+        new = with_defaults(df, rows, defaults, autofill)
+        return Change(df.unionByName(new.select(*df.columns)), new.select(*df.columns))
     if on_conflict == "abort":
-        seen = df.select(*key).unionAll(new.select(*key)).groupBy(*key).count().where("count > 1")
-        bad = seen.agg(F.count("*").alias("_clashes"))
-        checked = new.crossJoin(F.broadcast(bad)).where(F.when(F.col("_clashes") > 0, F.raise_error(F.lit("UNIQUE constraint failed")).cast("boolean")).otherwise(True)).drop("_clashes")
+        new = with_defaults(df, rows, defaults, autofill).select(*df.columns)
+        checked = new
+        for k in keys:
+            known = F.lit(True)
+            for c in k:
+                known = known & F.col(c).isNotNull()
+            seen = df.select(*k).unionAll(new.select(*k)).where(known).groupBy(*k).count().where("count > 1")
+            bad = seen.agg(F.count("*").alias("_clashes"))
+            checked = checked.crossJoin(F.broadcast(bad)).where(F.when(F.col("_clashes") > 0, F.raise_error(F.lit("UNIQUE constraint failed")).cast("boolean")).otherwise(True)).drop("_clashes")
         return Change(df.unionByName(checked), checked)
-    last = on_conflict == "replace"
-    new = _one_each(new, key, order, last)
-    if last:
-        return Change(df.join(new.select(*key), key, "left_anti").select(*df.columns).unionByName(new), new)
-    if on_conflict != "ignore":
+    if on_conflict not in ("ignore", "replace"):
         raise ValueError(f"OR {on_conflict}?")
-    added = new.join(df.select(*key), key, "left_anti").select(*df.columns)
+    if ORDINAL not in rows.columns:
+        # ties in the given order keep the order of the rows
+        rows = numbered(rows if order is None else rows.orderBy(*order))
+    new = with_defaults(df, rows, defaults, autofill)
+    if autofill:
+        from .recursion import written
+
+        new = written(new, "rows")
+    if on_conflict == "replace":
+        last, left = F.lit(True), df
+        for k in keys:
+            known = F.lit(True)
+            for c in k:
+                known = known & F.col(c).isNotNull()
+            last = last & (~known | (F.col(ORDINAL) == F.max(ORDINAL).over(Window.partitionBy(*k))))
+            left = _without(left, new, k)
+        kept = new.withColumn("_last", last).where("_last").select(*df.columns)
+        return Change(left.unionByName(kept), kept)
+    for k in keys:
+        new = _without(new, df, k)
+    added = _firsts(new, keys).select(*df.columns)
     return Change(df.unionByName(added), added)
 
 
-def _one_each(rows: DataFrame, key: list[str], order: list[Column] | None, last: bool) -> DataFrame:
-    if order is None:
-        return rows.dropDuplicates(key)
-    w = Window.partitionBy(*key).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*key)) if last else F.lit(1)
-    return rows.withColumn("_r", F.row_number().over(w)).withColumn("_n", n).where("_r = _n").drop("_r", "_n")
-
-
-def upsert(df: DataFrame, rows: DataFrame, key: list[str], update: dict[str, Column], where: Column | None = None) -> Change:
+def upsert(df: DataFrame, rows: DataFrame, key: list[str], update: dict[str, Column], where: Column | None = None, repeats: bool = False) -> Change:
     """ON CONFLICT (key) DO UPDATE SET ... [WHERE ...]: expressions may use ``t.col`` (the row
-    there) and ``excluded.col`` (the proposed one). Proposed rows must have unique keys."""
+    there) and ``excluded.col`` (the proposed one). Proposals of one key take effect one after
+    another, in order: with ``repeats`` they are numbered by key and applied a number at a
+    time, so there is a pass for every repetition; without it they must be unique."""
+    if not repeats:
+        return _upsert_once(df, rows, key, update, where)
+    from .recursion import written
+
+    if ORDINAL not in rows.columns:
+        rows = numbered(rows)
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    turn = F.when(known, F.row_number().over(Window.partitionBy(*key).orderBy(ORDINAL))).otherwise(1)
+    rows = written(rows.withColumn("_turn", turn), "proposals")
+    out, did = df, None
+    for i in range(1, (rows.agg(F.max("_turn")).first()[0] or 0) + 1):
+        change = _upsert_once(out, rows.where(F.col("_turn") == i).select(*df.columns), key, update, where)
+        out = written(change.table, "upserted")
+        affected = written(change.affected, "affected")
+        did = affected if did is None else _without(did, affected, key).unionByName(affected)
+    return Change(out, did if did is not None else df.limit(0))
+
+
+def _upsert_once(df: DataFrame, rows: DataFrame, key: list[str], update: dict[str, Column], where: Column | None) -> Change:
     flag = rows.withColumn("_new", F.lit(True)).alias("excluded")
     old = df.withColumn("_old", F.lit(True)).alias("t")
     on = F.lit(True)

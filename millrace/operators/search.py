@@ -11,7 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Latin letters with a diacritic in Latin-1 and Latin Extended-A fold to their base letter.
@@ -140,3 +140,33 @@ def match(index: DataFrame, query: str, tokenizer: str = "unicode61") -> DataFra
         return left & right if node[0] == "and" else left | right if node[0] == "or" else left & ~right
 
     return seen.where(holds(tree)).select("docid")
+
+
+def match_text(columns: dict[str, str], query: str, tokenizer: str = "unicode61") -> str:
+    """The condition ``MATCH query`` as SQL text over the token arrays of a row's columns
+    (name: expression): a scan that makes no postings. A term without a column may stand in
+    any of them."""
+    written: dict[str, str] = {}
+
+    def array(name: str) -> str:
+        if name not in written:
+            from ..plans.sqlfunctions import text_of
+
+            spark = SparkSession.getActiveSession()
+            written[name] = text_of(spark, tokens(F.col("_x"), tokenizer)).replace("_x", columns[name])
+        return written[name]
+
+    def one(t: Term, name: str) -> str:
+        text = _fold(t.text, tokenizer).replace("\\", "\\\\").replace("'", "\\'")
+        if t.prefix:
+            return f"startswith(get({array(name)}, 0), '{text}')" if t.first else f"exists({array(name)}, _w -> startswith(_w, '{text}'))"
+        return f"(get({array(name)}, 0) = '{text}')" if t.first else f"array_contains({array(name)}, '{text}')"
+
+    def holds(node) -> str:
+        if isinstance(node, Term):
+            names = [c for c in columns if not node.columns or c.lower() in {x.lower() for x in node.columns}]
+            return "(" + " OR ".join(f"coalesce({one(node, c)}, false)" for c in names) + ")" if names else "false"
+        left, right = holds(node[1]), holds(node[2])
+        return f"({left} AND {right})" if node[0] == "and" else f"({left} OR {right})" if node[0] == "or" else f"({left} AND NOT {right})"
+
+    return holds(parse_match(query))

@@ -49,7 +49,7 @@ def spark_sql(name: str, text: str, oracle: str | None = None) -> None:
         for x in TABLES:
             if x in text:
                 engine.register(x, getattr(t, x))
-        return engine.query(text)
+        return engine.native(text)
 
     QUERIES[name], ORACLE_SQL[name] = run, oracle or text
 
@@ -141,7 +141,7 @@ def null_logic(t):
 @query("SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS n, coalesce(TRY_CAST(regexp_extract(substr(props, 6), '^\\s*([+-]?(\\d+\\.?\\d*|\\.\\d+))', 1) AS DOUBLE), 0.0) AS r FROM events")
 def affinity_cast(t):
     found = F.regexp_extract("props", "[0-9]+", 0)
-    return t.events.select("event_id", F.when(found != "", casts.to_integer(found)).alias("n"), casts.to_real(F.substring("props", 6, 1000)).alias("r"))
+    return t.events.select("event_id", F.when(found != "", casts.to_integer(found)).alias("n"), casts.to_real(F.substring("props", F.lit(6), F.char_length("props"))).alias("r"))
 
 
 spark_sql("case_coalesce", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS s, coalesce(nullif(o_orderstatus, 'F'), 'none') AS k FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000")

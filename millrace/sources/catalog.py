@@ -1,8 +1,11 @@
 """Tables as versioned Parquet folders: DDL, snapshots, transactions with savepoints.
 
-A table is a folder of version folders; the catalog file names the current ones. A write
-makes a new version and never touches an old one, so readers keep their snapshot, ROLLBACK
-drops names only, and any path that Spark reaches will do.
+A version of a table is a list of folders of files; the catalog file names the versions. A
+write makes a new folder and never touches an old one, so readers keep their snapshot,
+ROLLBACK drops names only, and any path that Spark reaches will do. Appended rows make a
+folder of their own beside the old ones: only they are written and checked, and their keys
+are looked up in the table by a semi join. The catalog file is written aside and renamed,
+and a writer that finds another's changes in it fails instead of undoing them.
 """
 
 from __future__ import annotations
@@ -24,8 +27,14 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.stack: list[tuple[str, dict]] = []
-        self.views: dict[str, str] = {}
         self.state: dict = self._load() or {"tables": {}}
+        for part in ("views", "triggers"):
+            self.state.setdefault(part, {})
+        self.state.setdefault("number", 0)
+
+    @property
+    def views(self) -> dict[str, str]:
+        return self.state["views"]
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,10 +49,19 @@ class Catalog:
     def _save(self) -> None:
         if self.stack:
             return
-        fs, p = self._fs(f"{self.root}/catalog.json")
-        out = fs.create(p, True)
+        there = self._load()
+        if there and there.get("number", 0) != self.state["number"]:
+            raise RuntimeError("the catalog was changed by another writer; open it again")
+        self.state["number"] += 1
+        jvm, name = self.spark._jvm, f"{self.root}/catalog.json"
+        fs, aside = self._fs(f"{name}.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(aside), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(name)), how)
 
     def create(self, name: str, schema: str | T.StructType, if_not_exists: bool = False, pk: list[str] | None = None, unique: list[list[str]] | None = None, not_null: list[str] | None = None, checks: list[str] | None = None, defaults: dict[str, str] | None = None, generated: dict[str, str] | None = None, comment: str | None = None) -> None:
         if name in self.state["tables"]:
@@ -73,35 +91,64 @@ class Catalog:
         info, schema = self.info(name), self.schema(name)
         if not info["versions"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{info['versions'][-1 if version is None else version]}")
+        return self._read(name, schema, info["versions"][-1 if version is None else version])
 
-    def violations(self, name: str, df: DataFrame) -> dict[str, DataFrame]:
+    def _read(self, name: str, schema: T.StructType, folders: list[str] | str) -> DataFrame:
+        folders = [folders] if isinstance(folders, str) else folders
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+
+    def violations(self, name: str, df: DataFrame, old: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Rows of ``df`` that break a constraint, by constraint. With ``old``, ``df`` are rows
+        added to it: keys are looked up there too."""
         info, out = self.info(name), {}
         if info["not_null"]:
             out["not null"] = constraints.not_null(df, *info["not_null"])
-        for u in [info["pk"], *info["unique"]]:
+        for u, where in [(info["pk"], None), *((u, None) for u in info["unique"]), *((p["columns"], p["where"]) for p in info.get("partial", []))]:
             if u:
-                out[f"unique {', '.join(u)}"] = constraints.unique(df, u)
+                what = f"unique {', '.join(u)}"
+                inside = (lambda t, w=where: t if w is None else t.where(F.expr(w)))
+                out[what] = constraints.unique(inside(df), u)
+                if old is not None:
+                    again = inside(old).join(inside(df).select(*u), u, "left_semi").select(*u)
+                    out[f"{what} "] = again
         for c in info["checks"]:
             out[f"check {c}"] = constraints.check(df, F.expr(c))
         return out
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """A new snapshot, checked before it becomes current."""
+    def _written(self, name: str, df: DataFrame, old: DataFrame | None) -> tuple[str, DataFrame]:
         info, schema = self.info(name), self.schema(name)
         made = {k: F.expr(v) for k, v in info["generated"].items()}
         df = constraints.generated(df, made).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        version = uuid.uuid4().hex
-        path = f"{self.root}/{name}/{version}"
-        df.write.parquet(path)
-        saved = self.spark.read.schema(schema).parquet(path)
-        for what, rows in self.violations(name, saved).items():
+        folder = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        saved = self._read(name, schema, folder)
+        for what, rows in self.violations(name, saved, old).items():
             if not rows.isEmpty():
-                raise ValueError(f"{what} constraint failed: {name}")
-        info["versions"] = [*info["versions"], version]
+                raise ValueError(f"{what.strip()} constraint failed: {name}")
+        return folder, saved
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        """A new snapshot, checked before it becomes current."""
+        folder, saved = self._written(name, df, None)
+        info = self.info(name)
+        info["versions"] = [*info["versions"], [folder]]
+        self._save()
+        return saved
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        """A new snapshot with rows added: what was there is neither written nor checked again.
+        Returns the rows."""
+        info = self.info(name)
+        folder, saved = self._written(name, rows, self.table(name) if info["versions"] else None)
+        last = info["versions"][-1] if info["versions"] else []
+        info["versions"] = [*info["versions"], [*([last] if isinstance(last, str) else last), folder]]
         self._save()
         return saved
 
+    def compact(self, name: str) -> None:
+        """The current snapshot in one folder."""
+        self.replace(name, self.table(name))
+
     def alter(self, name: str, rename_to: str | None = None, rename_column: tuple[str, str] | None = None, add_column: tuple[str, str, Column | None] | None = None, drop_column: str | None = None) -> None:
         df, info = self.table(name), self.info(name)
         if rename_to:
@@ -132,13 +179,16 @@ class Catalog:
         self.info(name)["comments"][column] = text
         self._save()
 
-    def view(self, name: str, sql: str) -> None:
-        self.views[name] = sql
-        self.spark.sql(sql).createOrReplaceTempView(name)
+    def view(self, name: str, sql: str, df: DataFrame | None = None) -> None:
+        """A view by its text, which the catalog keeps; ``df`` is what another dialect makes of it."""
+        self.state["views"][name] = sql
+        (self.spark.sql(sql) if df is None else df).createOrReplaceTempView(name)
+        self._save()
 
     def drop_view(self, name: str) -> None:
-        del self.views[name]
+        del self.state["views"][name]
         self.spark.catalog.dropTempView(name)
+        self._save()
 
     def attach(self, alias: str, path: str) -> Catalog:
         """Another root; its tables become views ``alias_table``."""
