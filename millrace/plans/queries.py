@@ -175,7 +175,7 @@ spark_sql("join_theta", "SELECT r_regionkey, n_nationkey FROM region JOIN nation
 spark_sql("join_derived", "SELECT c_name, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) x ON c_custkey = o_custkey")
 spark_sql("join_star", "SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY n_name")
 spark_sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-spark_sql("anti_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+spark_sql("anti_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderkey % 40 < 5)")
 
 
 @query("SELECT * FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) JOIN region USING (r_regionkey)")
@@ -188,9 +188,9 @@ def join_natural(t):
     return joins.natural(t.nation.select(c("n_regionkey").alias("r_regionkey"), "n_name"), t.region)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 < 5)")
 def anti_not_in(t):
-    return joins.not_in(t.customer, "c_custkey", t.orders, "o_custkey").select("c_custkey")
+    return joins.not_in(t.customer, "c_custkey", t.orders.where("o_orderkey % 40 < 5"), "o_custkey").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_custkey > 10 THEN o_custkey END FROM orders)")
@@ -661,3 +661,16 @@ def stream_sliding(t):
 @query("SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey")
 def derived_counter(t):
     return cdc.counter(t.orders.select(c("o_custkey").alias("k"), F.lit("insert").alias("op")), ["k"])
+
+
+# -- queries written as SQL text of the engine's dialect ---------------------------------------
+
+
+def _sql_text() -> None:
+    from . import sqlqueries
+
+    QUERIES.update(sqlqueries.QUERIES)
+    ORACLE_SQL.update(sqlqueries.ORACLE_SQL)
+
+
+_sql_text()
