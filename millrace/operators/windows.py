@@ -54,3 +54,50 @@ def exclude_sum_count(df: DataFrame, partition: list[str], order: str, rows: tup
             gone_s, gone_c = gone_s - v, gone_c - one
     d = d.withColumn("_left", F.col("_c") - gone_c)
     return d.select(*df.columns, F.when(F.col("_left") > 0, F.col("_s") - gone_s).alias("sum"), F.col("_left").cast("long").alias("count"))
+
+
+_FOLDS = {
+    "count": lambda xs: F.size(F.array_compact(xs)).cast("long"),
+    "sum": None,
+    "min": F.array_min,
+    "max": F.array_max,
+    "array_agg": lambda xs: xs,
+    "group_concat": lambda xs: F.when(F.size(F.array_compact(xs)) > 0, F.array_join(F.transform(F.array_compact(xs), lambda x: x.cast("string")), ",")),
+    "first_value": lambda xs: F.get(xs, F.lit(0)),
+    "last_value": lambda xs: F.get(xs, F.size(xs) - 1),
+}
+
+
+def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool = False) -> DataFrame:
+    """Any aggregates (name: (function, column)) over a ``rows``, ``range`` or ``groups`` frame
+    with EXCLUDE no others, current row, group or ties. Functions: count, sum, min, max, avg,
+    array_agg, group_concat, first_value, last_value. The frame's rows are gathered for each
+    row, so a frame has to be bounded; for sum and count over ROWS ``exclude_sum_count``
+    gathers nothing. An empty frame gives NULL, and 0 for count."""
+    kind, low, high = frame
+    if exclude_ not in ("no others", "current row", "group", "ties") or kind not in ("rows", "range", "groups"):
+        raise ValueError(f"{kind} ... EXCLUDE {exclude_}?")
+    unknown = [f for f, _ in aggs.values() if f not in _FOLDS and f != "avg"]
+    if unknown:
+        raise ValueError(f"unknown functions {unknown}")
+    by = F.desc(order) if descending else F.asc(order)
+    w = Window.partitionBy(*partition).orderBy(by, *pk)
+    d = df.withColumn("_rn", F.row_number().over(w)).withColumn("_g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(by)))
+    over = {"rows": Window.partitionBy(*partition).orderBy("_rn").rowsBetween(low, high), "groups": Window.partitionBy(*partition).orderBy("_g").rangeBetween(low, high), "range": Window.partitionBy(*partition).orderBy(by).rangeBetween(low, high)}[kind]
+    inputs = sorted({c for _, c in aggs.values()})
+    d = d.withColumn("_f", F.array_sort(F.collect_list(F.struct("_rn", "_g", *[F.col(c).alias(f"x{i}") for i, c in enumerate(inputs)])).over(over)))
+    own, peers = (lambda r: r["_rn"] == F.col("_rn")), (lambda r: r["_g"] == F.col("_g"))
+    left = {"no others": lambda r: F.lit(True), "current row": lambda r: ~own(r), "group": lambda r: ~peers(r), "ties": lambda r: ~peers(r) | own(r)}[exclude_]
+    d = d.withColumn("_f", F.filter("_f", left))
+
+    def fold(function: str, column: str) -> Column:
+        xs = F.transform("_f", lambda r: r[f"x{inputs.index(column)}"])
+        if function == "avg":
+            return F.try_divide(fold("sum", column).cast("double"), fold("count", column))
+        if function == "sum":
+            zero = F.lit(0.0) if df.schema[column].dataType.simpleString() in ("float", "double") else F.lit(0).cast("long")
+            known = F.array_compact(xs)
+            return F.when(F.size(known) > 0, F.aggregate(known, zero, lambda s, x: s + x))
+        return F.when(F.size(xs) > 0, xs) if function == "array_agg" else _FOLDS[function](xs)
+
+    return d.select(*df.columns, *[fold(f, c).alias(n) for n, (f, c) in aggs.items()])

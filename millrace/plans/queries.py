@@ -663,14 +663,15 @@ def derived_counter(t):
     return cdc.counter(t.orders.select(c("o_custkey").alias("k"), F.lit("insert").alias("op")), ["k"])
 
 
-# -- queries written as SQL text of the engine's dialect ---------------------------------------
+# -- queries written as SQL text, and those over sources and changes -----------------------------
 
 
-def _sql_text() -> None:
-    from . import sqlqueries
+def _more() -> None:
+    from . import flowqueries, sqlqueries
 
-    QUERIES.update(sqlqueries.QUERIES)
-    ORACLE_SQL.update(sqlqueries.ORACLE_SQL)
+    for module in (sqlqueries, flowqueries):
+        QUERIES.update(module.QUERIES)
+        ORACLE_SQL.update(module.ORACLE_SQL)
 
 
-_sql_text()
+_more()

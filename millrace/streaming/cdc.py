@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,43 @@ def apply(target: DataFrame, changes: DataFrame, key: list[str], version: str, o
     return target.join(last.select(*key), key, "left_anti").select(*target.columns).unionByName(live)
 
 
+def apply_parking(target: DataFrame, changes: DataFrame, key: list[str], version: str, op: str = "op") -> tuple[DataFrame, DataFrame]:
+    """(target, parked): changes that do not fit the target are set aside instead of applied,
+    with a ``reason``: an insert of a key that is there, an update or delete of one that is
+    not, an unknown operation or a null key. Of a key's changes the last counts; an insert
+    followed by an update is an insert."""
+    first = changes.groupBy(*key).agg(F.min_by(op, version).alias("_first"))
+    null = F.lit(False)
+    for c in key:
+        null = null | F.col(c).isNull()
+    last = dirty_set(changes.where(~null), key, version).join(first, key)
+    last = last.join(target.select(*key, F.lit(True).alias("_there")), key, "left")
+    there = F.coalesce(F.col("_there"), F.lit(False))
+    reason = F.when(~F.col("_first").isin("insert", "update", "delete"), "unknown operation").when((F.col("_first") == "insert") & there, "key exists").when((F.col("_first") != "insert") & ~there, "no such key")
+    marked = last.withColumn("reason", reason)
+    cols = [c for c in changes.columns]
+    fit = marked.where(F.col("reason").isNull()).select(*cols)
+    out = apply(target, fit, key, version, op)
+    parked = marked.where(F.col("reason").isNotNull()).select(*cols, "reason").unionByName(changes.where(null).select(*cols, F.lit("null key").alias("reason")))
+    return out, parked
+
+
+@dataclass
+class Cursor:
+    """A place in a change feed, as plain values that can be kept anywhere."""
+
+    column: str
+    value: object = None
+
+    def after(self, feed: DataFrame) -> DataFrame:
+        return feed if self.value is None else feed.where(F.col(self.column) > F.lit(self.value))
+
+    def moved(self, taken: DataFrame) -> Cursor:
+        """The cursor behind what was taken; it never goes back."""
+        top = taken.agg(F.max(self.column)).first()[0]
+        return self if top is None or (self.value is not None and top <= self.value) else Cursor(self.column, top)
+
+
 def changes_between(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """(key, op) of two snapshots: what a listener would have been told."""
     row = lambda d, n: d.select(*key, F.struct(*[c for c in d.columns if c not in key]).alias(n))
