@@ -31,7 +31,8 @@ def _words(line: F.Column) -> F.Column:
 def positions(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     """(id, rk, fp, windows): one row for each selected position of each document, with the
     windows (i, lines, key) of which it is the minimum; made without a shuffle."""
-    long = (lambda x: _words(x) >= alone) if alone else lambda x: F.lit(False)
+    # a line of n words has 2n - 1 characters at least; few are that long
+    long = (lambda x: F.when(F.char_length(x) >= 2 * alone - 1, _words(x) >= alone).otherwise(False)) if alone else lambda x: F.lit(False)
     lines = F.transform(
         F.split(F.coalesce("t", F.lit("")), "\n", -1),
         lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.xxhash64(x).alias("f"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")),
