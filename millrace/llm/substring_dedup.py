@@ -16,7 +16,6 @@ equal with a probability of about windows^2 / 2^65 / buckets.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,13 @@ from .words import Words, chunks, delta, int64s, mix, pack, release, undelta, un
 
 WIDTH = 13
 CHUNK_WINDOWS = 1 << 20
+#: Shuffle partitions at most; beyond it each serves several buckets, one after another.
+PARTITIONS = 1 << 14
 
 
-def _group(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % groups
+def _group(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
+    """The document bucket of an id and a text's checksum."""
+    return (mix(mix(ids.view(np.uint64)) ^ tags.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) % groups
 
 
 def _split(keys: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -78,7 +80,7 @@ def _send(width: int, buckets: int, groups: int):
             h, b, ids, tags, at = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             done = _settled(h, ids)
-            yield _rows(1, ((g, pack(*_places(*x))) for g, x in _split(_group(ids[done], groups), ids[done], tags[done], at[done])))
+            yield _rows(1, ((g, pack(*_places(*x))) for g, x in _split(_group(ids[done], tags[done], groups), ids[done], tags[done], at[done])))
             go = ~done
             yield _rows(0, ((k, pack(*_places(*x[1:]), x[0])) for k, x in _split(b[go], h[go], ids[go], tags[go], at[go])))
 
@@ -103,48 +105,56 @@ def _send(width: int, buckets: int, groups: int):
 
 
 def _answer(groups: int):
-    """Rows of kind 1 pass; each bucket's blobs are settled together."""
+    """Rows of kind 1 pass; the blobs of a bucket, which come together, are settled together."""
+
+    def settle(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack(x) for x in blobs]
+        ids, tags, at = (np.concatenate([undelta(p[i]) for p in parts]) for i in range(3))
+        h = np.concatenate([p[3] for p in parts])
+        del parts
+        late = _settled(h, ids)
+        ids, tags, at = ids[late], tags[late], at[late]
+        order = np.lexsort((at, ids))
+        out = list(_split(_group(ids[order], tags[order], groups), ids[order], tags[order], at[order]))
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([pack(*_places(*x)) for _, x in out], pa.binary())], ["g", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, list[bytes]] = defaultdict(list)
+        held: list[bytes] = []
+        bucket = None
         for batch in batches:
             kind, key = batch.column("kind").to_numpy(), batch.column("key").to_numpy()
             through = np.flatnonzero(kind == 1)
             if len(through):
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(through)), batch.column("blob").take(pa.array(through))], ["g", "blob"])
-            for i in np.flatnonzero(kind == 0):
-                mine[int(key[i])].append(batch.column("blob")[int(i)].as_py())
-        for k in list(mine):
-            parts = [unpack(x) for x in mine.pop(k)]
-            ids, tags, at = (np.concatenate([undelta(p[i]) for p in parts]) for i in range(3))
-            h = np.concatenate([p[3] for p in parts])
-            del parts
-            late = _settled(h, ids)
-            ids, tags, at = ids[late], tags[late], at[late]
-            order = np.lexsort((at, ids))
-            out = list(_split(_group(ids[order], groups), ids[order], tags[order], at[order]))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([pack(*_places(*x)) for _, x in out], pa.binary())], ["g", "blob"])
+            for i in np.flatnonzero(kind == 0).tolist():
+                if held and key[i] != bucket:
+                    blobs, held = held, []
+                    yield settle(blobs)
+                bucket = key[i]
+                held.append(batch.column("blob")[i].as_py())
+        if held:
+            yield settle(held)
         release()
 
     return run
 
 
 def _texts(groups: int):
-    """Blobs of rows (id, known, tag, text) by document bucket; packed together, texts take
-    about half of what single rows would."""
+    """Blobs of rows (id, tag, text) by document bucket; packed together, texts take about
+    half of what single rows would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=8 << 20):
-            ids, known = int64s(batch, "id")
+            ids, _ = int64s(batch, "id")
             tags, _ = int64s(batch, "tag")
             keys, blobs = [], []
             texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
-            for g, (rows,) in _split(_group(np.where(known, ids, tags), groups), np.arange(len(ids))):
+            for g, (rows,) in _split(_group(ids, tags, groups), np.arange(len(ids))):
                 mine = texts.take(pa.array(rows))
                 sizes = np.asarray(pc.binary_length(mine), np.int64)
                 raw = np.frombuffer(b"".join(mine.to_pylist()), np.uint8)
                 keys.append(g)
-                blobs.append(pack(ids[rows], known[rows], tags[rows], sizes, raw))
+                blobs.append(pack(ids[rows], tags[rows], sizes, raw))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["g", "blob"])
 
     return run
@@ -161,14 +171,14 @@ def _cut(width: int, whole: bool):
         ids, tags, at = ids[order], tags[order], at[order]
         rows = []
         for blob in docs.column("blob"):
-            own, known, marks, sizes, raw = unpack(blob.as_py())
+            own, marks, sizes, raw = unpack(blob.as_py())
             ends = np.concatenate([[0], np.cumsum(sizes)])
             words = Words(pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(raw)))
             data = raw.tobytes()
             for r in range(len(own)):
                 a, b = int(words.first[r]), int(words.first[r + 1])
                 lo, hi = np.searchsorted(ids, own[r]), np.searchsorted(ids, own[r], "right")
-                places = at[lo:hi][tags[lo:hi] == marks[r]] if known[r] else at[:0]
+                places = at[lo:hi][tags[lo:hi] == marks[r]]
                 edge = np.zeros(b - a + 1, np.int32)
                 np.add.at(edge, places, 1)
                 np.add.at(edge, np.minimum(places + width, b - a), -1)
@@ -176,7 +186,7 @@ def _cut(width: int, whole: bool):
                 keep = np.flatnonzero(~gone) + a
                 kept = b" ".join([data[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
                 value = kept.decode() if whole else None
-                rows.append((int(own[r]) if known[r] else None, int(marks[r]), b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), value))
+                rows.append((int(own[r]), int(marks[r]), b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), value))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "tag", "n_words", "n_removed", "kept_sha256", "kept"), cols, types, strict=True)})
@@ -184,6 +194,21 @@ def _cut(width: int, whole: bool):
     return run
 
 
+def _whole(whole: bool):
+    """Rows without an id: all of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            words = Words(batch.column("text"))
+            data = words.data.tobytes()
+            kept = [b" ".join([data[s:e] for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            n = len(kept)
+            cols = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() if whole else None for k in kept], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "tag", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
 def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_removed, kept_sha256 and, if
     ``whole``, the kept words joined by one space (``kept``).
@@ -196,10 +221,15 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "
         raise ValueError("width must be positive")
     parts = parts_for(docs, 4 << 20)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("tag"), F.col(f"`{text_col}`").alias("text"))
-    sent = base.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary").repartitionById(parts, F.col("key").cast("int"))
+    known = base.where(F.col("id").isNotNull())
+    sent = known.mapInArrow(_send(width, parts, parts), "kind int, key long, blob binary")
+    few = min(parts, PARTITIONS)
+    sent = sent.repartitionById(few, F.pmod("key", F.lit(few)).cast("int")).sortWithinPartitions("kind", "key")
     answers = sent.mapInArrow(_answer(parts), "g long, blob binary")
-    texts = base.mapInArrow(_texts(parts), "g long, blob binary")
-    out = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_cut(width, whole), "id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string")
+    texts = known.mapInArrow(_texts(parts), "g long, blob binary")
+    schema = "id long, tag long, n_words long, n_removed long, kept_sha256 string, kept string"
+    out = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_cut(width, whole), schema)
+    out = out.unionByName(base.where(F.col("id").isNull()).mapInArrow(_whole(whole), schema))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if whole else []))
 
 
