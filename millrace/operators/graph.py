@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recursion import fixpoint
+from .recursion import fixpoint, written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def hops(edges: DataFrame, start: DataFrame, n: int) -> DataFrame:
 
 
 def reach(edges: DataFrame, start: DataFrame, n: int | None = None) -> DataFrame:
-    """(id, depth) of all nodes within n edges (all reachable, without n), at least depth."""
+    """(id, depth) of all nodes within n edges (all reachable, without n), at least depth. The
+    edges are written once, so that no step computes them again."""
+    edges = written(edges.select("src", "dst"), "edges")
     first = start.select(F.col(start.columns[0]).alias("id"), F.lit(0).alias("depth"))
 
     def step(new: DataFrame) -> DataFrame:

@@ -170,3 +170,9 @@ def match_text(columns: dict[str, str], query: str, tokenizer: str = "unicode61"
         return f"({left} AND {right})" if node[0] == "and" else f"({left} OR {right})" if node[0] == "or" else f"({left} AND NOT {right})"
 
     return holds(parse_match(query))
+
+
+def scan(df: DataFrame, columns: list[str], query: str, tokenizer: str = "unicode61") -> DataFrame:
+    """Rows that match, by one pass over the texts: for a query that is asked once. ``match``
+    over stored postings is for many."""
+    return df.where(F.expr(match_text({c: f"`{c}`" for c in columns}, query, tokenizer)))

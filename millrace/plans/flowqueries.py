@@ -358,3 +358,52 @@ def routing_cost(t):
     a, b = stops.select("route", c("s_suppkey").alias("src"), c("s_acctbal").alias("x")), stops.select("route", c("s_suppkey").alias("dst"), c("s_acctbal").alias("y"))
     got = routing.sequence(a.join(b, "route").select("route", "src", "dst", F.abs(c("x") - c("y")).alias("cost")), "route")
     return got.select("route", F.round("total", 4).alias("cost"))
+
+
+_WORDS = "(SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w, lower(coalesce(lang, '')) AS l FROM documents)"
+
+
+@query(f"SELECT doc_id FROM {_WORDS} WHERE list_contains(w, 'the') AND NOT list_contains(w, 'and') AND l = 'en' UNION ALL SELECT doc_id + 1000000 FROM {_WORDS} WHERE w[1] LIKE 'a%'")
+def fts_grammar(t):
+    """NOT, a column's term and the first word of a column, by postings and by a scan."""
+    from ..operators import search
+
+    docs = t("documents", "doc_id", "text", "lang")
+    one = search.match(search.postings(docs, "doc_id", ["text", "lang"]), "(text:the NOT text:and) AND lang:en").select(c("docid").alias("doc_id"))
+    two = search.scan(docs, ["text", "lang"], "text:^a*").select((c("doc_id") + 1000000).alias("doc_id"))
+    return one.unionAll(two)
+
+
+@query("SELECT n_nationkey AS k, i FROM nation, LATERAL (SELECT unnest(range(n_nationkey % 3)) AS i)")
+def host_table_function(t):
+    engine = Engine(t.spark)
+    engine.register("nation", t("nation"))
+    engine.create_table_function("upto", lambda n: ((i,) for i in range(n)), "i int")
+    return engine.query("SELECT n.n_nationkey AS k, u.i FROM nation AS n, LATERAL (SELECT * FROM upto(n.n_nationkey % 3)) AS u")
+
+
+@query("SELECT n_nationkey AS name, v AS version, n_name || repeat('x', v::INTEGER) AS data FROM nation, (VALUES (1), (2), (3)) t(v)")
+def object_deltas(t):
+    versions = t.spark.range(1, 4).withColumnRenamed("id", "version")
+    store = t("nation").join(versions).select(c("n_nationkey").cast("string").alias("name"), "version", F.concat("n_name", F.repeat(F.lit("x"), c("version").cast("int"))).cast("binary").alias("data"))
+    back = objects.from_deltas(objects.to_deltas(store))
+    return back.select(c("name").cast("long").alias("name"), "version", c("data").cast("string").alias("data"))
+
+
+@query("SELECT n_regionkey::VARCHAR AS archive, n_nationkey AS name, n_name AS data FROM nation")
+def object_archives(t):
+    rows = t("nation").select(c("n_regionkey").cast("string").alias("archive"), c("n_nationkey").cast("string").alias("name"), c("n_name").cast("binary").alias("data"))
+    back = objects.unpack(objects.pack_archives(rows))
+    return back.select("archive", c("name").cast("long").alias("name"), c("data").cast("string").alias("data"))
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 'up' WHEN n_regionkey = 2 THEN 'mine' ELSE n_name END AS name FROM nation")
+def replica_pull_push(t):
+    """Changes past the cursor come down, local ones go up."""
+    base = t("nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name"), c("n_regionkey").alias("r"))
+    journal = maps.record(t.spark.createDataFrame([], maps.JOURNAL + ", k int"), base.where("r = 1").select("k", F.lit("update").alias("op")), ["k"])
+    replica = sync.seed(base.drop("r"), journal.limit(0))
+    replica.local = base.withColumn("name", F.when(c("r") == 2, "mine").otherwise(c("name"))).drop("r")
+    upstream = base.withColumn("name", F.when(c("r") == 1, "up").otherwise(c("name"))).drop("r")
+    replica = sync.pull(replica, upstream, journal, ["k"])
+    return sync.push(replica, upstream, ["k"])[0]

@@ -368,7 +368,7 @@ ORACLE_SQL["fn_dates"] = ORACLE_SQL["fn_dates"].replace("round(julian(o_orderdat
 def fn_json(t):
     p = c("props")
     keys = F.array_sort(F.json_object_keys(p))
-    return t.events.select("event_id", jsons.json_valid(p).alias("ok"), jsons.json_type(p).alias("ty"), jsons.json_(p).alias("mini"), F.coalesce(F.size(keys) > 0, F.lit(False)).alias("has"))
+    return t.events.select("event_id", jsons.describe(p).alias("j"), F.coalesce(F.size(keys) > 0, F.lit(False)).alias("has")).select("event_id", c("j.valid").alias("ok"), c("j.kind").alias("ty"), c("j.text").alias("mini"), "has")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ^ 2))), 6) AS d FROM embeddings")
@@ -521,7 +521,7 @@ def stream_sessions(t):
 
 @query("SELECT doc_id AS docid FROM documents WHERE list_contains(w, 'the') AND (list_contains(w, 'idiot') OR len(list_filter(w, lambda x: starts_with(x, 'worth'))) > 0)".replace("FROM documents", "FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents)"))
 def fts_match(t):
-    return search.match(search.postings(t.documents, "doc_id", ["text"]), "the AND (idiot OR worth*)")
+    return search.scan(t.documents, ["text"], "the AND (idiot OR worth*)").select(c("doc_id").alias("docid"))
 
 
 @query("SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - (CASE WHEN i = 1 THEN 1.0 ELSE 0.0 END)) ^ 2))) AS d FROM embeddings WHERE label % 2 = 0) ORDER BY d, vec_id LIMIT 10")

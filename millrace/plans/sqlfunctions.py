@@ -228,7 +228,10 @@ def call(spark: SparkSession, name: str, args: list, strict: bool) -> tuple[str,
         pairs = [f"concat({as_json(k)}, ':', {as_json(v)})" for k, v in zip(args[::2], args[1::2], strict=True)]
         return f"concat('{{', concat_ws(',', array({', '.join(pairs)})), '}}')" if a else "'{}'", "json"
     if name == "json_quote":
-        return as_json(args[0]), "text"
+        if a[0].startswith("json_extract(") and a[0].count("'$") == 1:
+            # the node's own JSON, whatever its type
+            return f"coalesce(ml_json_arrow({a[0][len('json_extract('):]}, 'null')", "json"
+        return as_json(args[0]), "json"
     if name == "unnest":
         return f"explode({a[0]})", "other"
     if name == "generate_subscripts":

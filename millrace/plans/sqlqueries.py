@@ -146,8 +146,8 @@ dialect("sql_json_read", "SELECT n_nationkey, json_extract(j, '$.a[1]') AS x, j
     "SELECT n_nationkey, n_nationkey::VARCHAR AS x, '\"' || n_name || '\"' AS ar, n_name AS at, 'array' AS ty, 2 AS n, 1 AS v, '{\"a\":[1,' || n_nationkey || '],\"b\":\"' || n_name || '\"}' AS m FROM nation")
 dialect("sql_json_write", "SELECT n_nationkey, json_set('{\"a\":1}', '$.b', n_nationkey) AS s, json_insert('{\"a\":1}', '$.a', 5) AS i, json_replace('{\"a\":1}', '$.a', n_name) AS r, json_remove('[1,2,3]', '$[1]') AS m, json_patch('{\"a\":1}', '{\"c\":' || n_nationkey || '}') AS p FROM nation",
     "SELECT n_nationkey, '{\"a\":1,\"b\":' || n_nationkey || '}' AS s, '{\"a\":1}' AS i, '{\"a\":\"' || n_name || '\"}' AS r, '[1,3]' AS m, '{\"a\":1,\"c\":' || n_nationkey || '}' AS p FROM nation")
-dialect("sql_json_build", "SELECT n_nationkey, json_array(n_nationkey, n_name, NULL, 1.5) AS a, json_object('k', n_nationkey, 'v', json_array(1)) AS o, json_build_array(n_name) AS ba, json_build_object('x', n_name) AS bo, json_quote(n_name) AS q FROM nation",
-    "SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",null,1.5]' AS a, '{\"k\":' || n_nationkey || ',\"v\":[1]}' AS o, '[\"' || n_name || '\"]' AS ba, '{\"x\":\"' || n_name || '\"}' AS bo, '\"' || n_name || '\"' AS q FROM nation")
+dialect("sql_json_build", "SELECT n_nationkey, json_array(n_nationkey, n_name, NULL, 1.5) AS a, json_object('k', n_nationkey, 'v', json_array(1)) AS o, json_build_array(n_name) AS ba, json_build_object('x', n_name) AS bo, json_quote(n_name) AS q, json_quote(json_extract('{\"a\":[1,2]}', '$.a')) AS x FROM nation",
+    "SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",null,1.5]' AS a, '{\"k\":' || n_nationkey || ',\"v\":[1]}' AS o, '[\"' || n_name || '\"]' AS ba, '{\"x\":\"' || n_name || '\"}' AS bo, '\"' || n_name || '\"' AS q, '[1,2]' AS x FROM nation")
 dialect("sql_vectors", "SELECT vec_id, round(vec_l2(embedding, reverse(embedding)), 4) AS l, round(vec_cosine(embedding, reverse(embedding)), 4) AS c FROM embeddings",
     "SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ^ 2))), 4) AS l, round(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 4) AS c FROM embeddings")
 dialect("sql_catalog_functions", "SELECT n_nationkey, pg_typeof(n_name) AS t, format_type(n_regionkey) AS f, has_table_privilege('nation', 'select') AS p, version() IS NOT NULL AS v FROM nation", "SELECT n_nationkey, 'text' AS t, 'bigint' AS f, true AS p, true AS v FROM nation")

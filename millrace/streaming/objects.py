@@ -53,3 +53,76 @@ def unpack(archives: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["archive", "name", "data"])
 
     return archives.select("name", "data").mapInPandas(run, "archive string, name string, data binary")
+
+
+DELTAS = "name string, version long, base long, prefix long, suffix long, data binary"
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def to_deltas(store: DataFrame) -> DataFrame:
+    """Versions as what differs from the version before: the bytes between a common prefix and
+    a common suffix (``DELTAS``). The first version of an object is whole. One object's
+    versions are one task's."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows, last = [], None
+        for r in pdf.sort_values("version").itertuples():
+            data = bytes(r.data) if r.data is not None else b""
+            if last is None:
+                rows.append((r.name, r.version, None, 0, 0, data))
+            else:
+                a = _common(last[1], data)
+                rest = min(len(last[1]), len(data)) - a
+                b = _common(last[1][::-1][:rest], data[::-1][:rest])
+                rows.append((r.name, r.version, last[0], a, b, data[a : len(data) - b]))
+            last = (r.version, data)
+        return pd.DataFrame(rows, columns=["name", "version", "base", "prefix", "suffix", "data"]).astype({"base": "Int64"})
+
+    return store.select("name", "version", "data").groupBy("name").applyInPandas(lambda pdf: run(pdf), DELTAS)
+
+
+def from_deltas(deltas: DataFrame) -> DataFrame:
+    """The versions again; a delta whose base is not there raises."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows, known = [], {}
+        for r in pdf.sort_values("version").itertuples():
+            data = bytes(r.data)
+            if not pd.isna(r.base):
+                if int(r.base) not in known:
+                    raise ValueError(f"version {int(r.base)} of {r.name} is not there")
+                old = known[int(r.base)]
+                data = old[: r.prefix] + data + old[len(old) - r.suffix :]
+            known[r.version] = data
+            rows.append((r.name, r.version, data))
+        return pd.DataFrame(rows, columns=["name", "version", "data"])
+
+    return deltas.groupBy("name").applyInPandas(lambda pdf: run(pdf), "name string, version long, data binary")
+
+
+def pack_archives(objects: DataFrame, archive: str = "archive") -> DataFrame:
+    """(name, data): one zip archive for each value of ``archive``, members in order of name;
+    an archive is put together by one task."""
+
+    def run(pdf):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in pdf.sort_values("name").itertuples():
+                z.writestr(zipfile.ZipInfo(r.name), bytes(r.data), zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"name": [pdf[archive].iloc[0]], "data": [out.getvalue()]})
+
+    return objects.select(archive, "name", "data").groupBy(archive).applyInPandas(lambda pdf: run(pdf), "name string, data binary")

@@ -67,3 +67,43 @@ def replicate(upstream: DataFrame, local: DataFrame, base: DataFrame, key: list[
     first = up if policy == "upstream" else up & ~mine
     row = F.when(first, F.col("u")).when(mine, F.col("l")).otherwise(F.col("u"))
     return both.withColumn("_r", row).where(F.col("_r").isNotNull()).select(*[F.col(f"_r.{c}").alias(c) for c in upstream.columns])
+
+
+@dataclass
+class Replica:
+    """A replica's content, what it last had in common with the upstream, and how far it has
+    read the upstream's journal."""
+
+    local: DataFrame
+    base: DataFrame
+    cursor: int = 0
+
+
+def seed(upstream: DataFrame, journal: DataFrame) -> Replica:
+    """A new replica: all rows, and a cursor behind all that the journal tells of them."""
+    return Replica(upstream, upstream, journal.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0])
+
+
+def pull(replica: Replica, upstream: DataFrame, journal: DataFrame, key: list[str], policy: str = "upstream") -> Replica:
+    """Take over the keys that the journal names past the cursor, merged by the policy; other
+    rows are neither read from the upstream nor compared."""
+    news = journal.where(F.col("seq") > replica.cursor)
+    keys = news.select(*key).distinct()
+    part = lambda d: d.join(keys, key, "left_semi").select(*d.columns)
+    rest = lambda d: d.join(keys, key, "left_anti").select(*d.columns)
+    merged = replicate(part(upstream), part(replica.local), part(replica.base), key, policy)
+    cursor = news.agg(F.max("seq")).first()[0]
+    return Replica(rest(replica.local).unionByName(merged), rest(replica.base).unionByName(part(upstream)), replica.cursor if cursor is None else cursor)
+
+
+def push(replica: Replica, upstream: DataFrame, key: list[str]) -> tuple[DataFrame, Replica]:
+    """(upstream, replica): local changes go up, unless the upstream's row has moved from the
+    common one too, which raises: pull first."""
+    pack = lambda d, n: d.select(*key, F.struct(*d.columns).alias(n))
+    both = pack(replica.local, "l").join(pack(replica.base, "b"), key, "full").where(~F.col("l").eqNullSafe(F.col("b")))
+    moved = both.join(pack(upstream, "u"), key, "left").where(~F.col("u").eqNullSafe(F.col("b")) & ~F.col("u").eqNullSafe(F.col("l")))
+    if not moved.isEmpty():
+        raise SyncConflict("the upstream has moved")
+    out = upstream.join(both.select(*key), key, "left_anti").select(*upstream.columns)
+    out = out.unionByName(both.where(F.col("l").isNotNull()).select(*[F.col(f"l.{c}").alias(c) for c in upstream.columns]))
+    return out, Replica(replica.local, replica.local, replica.cursor)
