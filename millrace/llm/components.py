@@ -29,6 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
         drop(before)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if tuple(now) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("node")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
         state = tuple(now)
     raise RuntimeError("components did not settle")
