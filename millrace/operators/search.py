@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 _FOLD = {chr(c): d for c in range(0xC0, 0x180) if len(d := "".join(x for x in unicodedata.normalize("NFD", chr(c).lower()) if not unicodedata.combining(x))) == 1 and d.isascii() and d.isalpha()}
 
 
-def tokens(x: Column, tokenizer: str = "unicode61") -> Column:
-    """Terms in order: letters and digits, folded."""
+def folded(x: Column, tokenizer: str = "unicode61") -> Column:
+    """The text that terms are cut from."""
     x = F.coalesce(x, F.lit(""))
     if tokenizer == "ascii":
-        return F.regexp_extract_all(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([a-z0-9\x{80}-\x{10FFFF}]+)"), 1)
-    folded = F.translate(F.lower(x), "".join(k for k in _FOLD if k == k.lower()), "".join(v for k, v in _FOLD.items() if k == k.lower()))
-    return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
+        return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.lower(x), "".join(k for k in _FOLD if k == k.lower()), "".join(v for k, v in _FOLD.items() if k == k.lower()))
+
+
+def tokens(x: Column, tokenizer: str = "unicode61") -> Column:
+    """Terms in order: letters and digits, folded."""
+    pattern = r"([a-z0-9\x{80}-\x{10FFFF}]+)" if tokenizer == "ascii" else r"([\p{L}\p{N}\p{Co}]+)"
+    return F.regexp_extract_all(folded(x, tokenizer), F.lit(pattern), 1)
 
 
 def _fold(term: str, tokenizer: str) -> str:
@@ -145,31 +150,46 @@ def match(index: DataFrame, query: str, tokenizer: str = "unicode61") -> DataFra
 def match_text(columns: dict[str, str], query: str, tokenizer: str = "unicode61") -> str:
     """The condition ``MATCH query`` as SQL text over the token arrays of a row's columns
     (name: expression): a scan that makes no postings. A term without a column may stand in
-    any of them."""
-    written: dict[str, str] = {}
+    any of them. A text is cut into tokens once, and only if it holds the terms as
+    substrings, which every token is."""
+    from ..plans.sqlfunctions import text_of
 
-    def array(name: str) -> str:
-        if name not in written:
-            from ..plans.sqlfunctions import text_of
+    spark = SparkSession.getActiveSession()
+    names = list(columns)
 
-            spark = SparkSession.getActiveSession()
-            written[name] = text_of(spark, tokens(F.col("_x"), tokenizer)).replace("_x", columns[name])
-        return written[name]
+    def written(c: Column, name: str) -> str:
+        return text_of(spark, c).replace("_x", columns[name])
 
-    def one(t: Term, name: str) -> str:
-        text = _fold(t.text, tokenizer).replace("\\", "\\\\").replace("'", "\\'")
-        if t.prefix:
-            return f"startswith(get({array(name)}, 0), '{text}')" if t.first else f"exists({array(name)}, _w -> startswith(_w, '{text}'))"
-        return f"(get({array(name)}, 0) = '{text}')" if t.first else f"array_contains({array(name)}, '{text}')"
+    def literal(t: Term) -> str:
+        return "'" + _fold(t.text, tokenizer).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def of(t: Term) -> list[int]:
+        return [i for i, c in enumerate(names) if not t.columns or c.lower() in {x.lower() for x in t.columns}]
 
-    def holds(node) -> str:
+    def combined(node, leaf, negate: bool) -> str:
         if isinstance(node, Term):
-            names = [c for c in columns if not node.columns or c.lower() in {x.lower() for x in node.columns}]
-            return "(" + " OR ".join(f"coalesce({one(node, c)}, false)" for c in names) + ")" if names else "false"
-        left, right = holds(node[1]), holds(node[2])
-        return f"({left} AND {right})" if node[0] == "and" else f"({left} OR {right})" if node[0] == "or" else f"({left} AND NOT {right})"
+            parts = [leaf(node, i) for i in of(node)]
+            return "(" + " OR ".join(parts) + ")" if parts else "false"
+        left = combined(node[1], leaf, negate)
+        if node[0] == "not":
+            return f"({left} AND NOT {combined(node[2], leaf, negate)})" if negate else left
+        return f"({left} {node[0].upper()} {combined(node[2], leaf, negate)})"
+
+    def exact(t: Term, i: int) -> str:
+        array, text = f"_r.c{i}", literal(t)
+        if t.prefix:
+            found = f"startswith(get({array}, 0), {text})" if t.first else f"exists({array}, _w -> startswith(_w, {text}))"
+        else:
+            found = f"(get({array}, 0) = {text})" if t.first else f"array_contains({array}, {text})"
+        return f"coalesce({found}, false)"
 
-    return holds(parse_match(query))
+    tree = parse_match(query)
+    used = sorted({i for t in terms_of(tree) for i in of(t)})
+    if not used:
+        return "false"
+    rough = combined(tree, lambda t, i: f"contains({written(folded(F.col('_x'), tokenizer), names[i])}, {literal(t)})", False)
+    row = ", ".join(f"'c{i}', {written(tokens(F.col('_x'), tokenizer), names[i])}" for i in used)
+    return f"({rough} AND exists(array(named_struct({row})), _r -> {combined(tree, exact, True)}))"
 
 
 def scan(df: DataFrame, columns: list[str], query: str, tokenizer: str = "unicode61") -> DataFrame:
