@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside each partition.
 
 Texts are cut into pretokens by the tokenizer's pattern. A pretoken that is itself in the
-vocabulary is one token; every other distinct one starts as rows (word, position, token) of
-single bytes. A recursive query joins neighbouring tokens with the merge table, finds each
+vocabulary is one token; every other distinct one starts as rows (word, position, next
+position, token) of single bytes. A recursive query joins neighbouring tokens with the merge table, finds each
 word's leftmost pair of least rank and contracts it, for all words at once, until no word
 has a pair left. The merge table holds every split of every vocabulary entry into two
 entries, which is what merging by the rank of the joined bytes means.
@@ -43,14 +43,14 @@ LONG = 256
 WORDS_AT_ONCE = 40_000
 TOKENS_AT_ONCE = 500_000
 _MERGE = """
-WITH RECURSIVE s(w, p, t, live) AS (
-  SELECT w, p, t, true FROM start
+WITH RECURSIVE s(w, p, n, t, live) AS (
+  SELECT w, p, n, t, true FROM start
   UNION ALL
-  (WITH pairs AS (SELECT w, p, t, lead(t) OVER o AS nt, lag(p) OVER o AS pp FROM s WHERE live WINDOW o AS (PARTITION BY w ORDER BY p)),
-        best AS (SELECT w, min(m::BIGINT * 4294967296 + p) AS k FROM pairs JOIN merges ON t = l AND nt = r GROUP BY w)
-   SELECT pairs.w, p, CASE WHEN p = k % 4294967296 THEN (k // 4294967296)::INT ELSE t END, k IS NOT NULL
-   FROM pairs LEFT JOIN best ON pairs.w = best.w
-   WHERE pp IS NULL OR k IS NULL OR pp <> k % 4294967296))
+  (WITH hits AS (SELECT a.w, a.p, a.n AS q, b.n, m FROM s a JOIN s b ON a.n = b.p AND b.live JOIN merges ON a.t = l AND b.t = r WHERE a.live),
+        best AS (SELECT w, min(m::BIGINT * 4294967296 + p) AS k FROM hits GROUP BY w),
+        pick AS (SELECT hits.* FROM hits JOIN best ON hits.w = best.w AND m::BIGINT * 4294967296 + p = k)
+   SELECT s.w, s.p, CASE WHEN s.p = x.p THEN x.n ELSE s.n END, CASE WHEN s.p = x.p THEN x.m ELSE s.t END, x.w IS NOT NULL
+   FROM s LEFT JOIN pick x ON s.w = x.w WHERE s.live AND (x.w IS NULL OR s.p <> x.q)))
 SELECT w, t FROM s WHERE NOT live ORDER BY w, p
 """
 _MERGE_LONG = """
@@ -139,32 +139,36 @@ class Codec:
     def _learn(self, words: list[str]) -> None:
         """Encode new distinct words, in the order of their numbers."""
         raw = [w.encode() for w in words]
-        got: list[np.ndarray | None] = [None] * len(raw)
-        short, long = [], []
-        for i, b in enumerate(raw):
-            whole = self.ranks.get(b)
-            if whole is not None:
-                got[i] = np.array([whole], np.int32)
-            else:
-                (long if len(b) > LONG else short).append(i)
-        parts = [(short[a : a + WORDS_AT_ONCE], _MERGE) for a in range(0, len(short), WORDS_AT_ONCE)] + [([i], _MERGE_LONG) for i in long]
-        self.con.execute(f"SET memory_limit = '{256 + max((len(raw[i]) for i in long), default=0) // 4096}MB'")
-        for part, sql in parts:
-            for i, ids in zip(part, self._contract([raw[i] for i in part], sql), strict=True):
-                got[i] = ids
-        self.flat.append(np.concatenate(got))
-        self.sizes.append(np.array([len(x) for x in got]))
-
-    def _contract(self, raw: list[bytes], sql: str) -> list[np.ndarray]:
-        """The ids of each word by one of the recursions."""
+        whole = list(map(self.ranks.get, raw))
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        known = np.array([x is not None for x in whole])
+        short, long = np.flatnonzero(~known & (length <= LONG)), np.flatnonzero(~known & (length > LONG))
+        one = np.flatnonzero(known)
+        found = [(one, np.array([whole[i] for i in one.tolist()], np.int32), np.ones(len(one), np.int64))]
+        self.con.execute(f"SET memory_limit = '{256 + int(length[long].max(initial=0)) // 4096}MB'")
+        parts = [(short[a : a + WORDS_AT_ONCE], _MERGE) for a in range(0, len(short), WORDS_AT_ONCE)] + [(long[i : i + 1], _MERGE_LONG) for i in range(len(long))]
+        found += [(part, *self._contract([raw[i] for i in part.tolist()], sql)) for part, sql in parts]
+        size = np.empty(len(raw), np.int64)
+        for part, _, n in found:
+            size[part] = n
+        start = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for part, ids, n in found:
+            flat[np.repeat(start[part] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        self.flat.append(flat)
+        self.sizes.append(size)
+
+    def _contract(self, raw: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's) by one of the recursions."""
         size = np.array([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
         w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
-        p = (np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        self._load("start", pa.table({"w": w, "p": p, "t": self.single[data]}))
+        p = np.arange(len(data), dtype=np.int32)
+        last = np.zeros(len(data), bool)
+        last[np.cumsum(size) - 1] = True
+        self._load("start", pa.table({"w": w, "p": p, "n": pa.array(p + 1, mask=last), "t": self.single[data]}))
         out = self.con.sql(sql).to_arrow_table()
-        t, edge = out.column("t").to_numpy(), np.searchsorted(out.column("w").to_numpy(), np.arange(len(raw) + 1))
-        return [t[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return out.column("t").to_numpy(), np.bincount(out.column("w").to_numpy(), minlength=len(raw))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first of each text and the end)."""
