@@ -363,14 +363,14 @@ def routing_cost(t):
 _WORDS = "(SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w, lower(coalesce(lang, '')) AS l FROM documents)"
 
 
-@query(f"SELECT doc_id FROM {_WORDS} WHERE list_contains(w, 'the') AND NOT list_contains(w, 'and') AND l = 'en' UNION ALL SELECT doc_id + 1000000 FROM {_WORDS} WHERE w[1] LIKE 'a%'")
+@query(f"SELECT doc_id FROM {_WORDS} WHERE list_contains(w, 'the') AND NOT list_contains(w, 'and') AND l = 'en' UNION ALL SELECT doc_id + 1000000 FROM {_WORDS} WHERE w[1] LIKE 'b%'")
 def fts_grammar(t):
     """NOT, a column's term and the first word of a column, by postings and by a scan."""
     from ..operators import search
 
     docs = t("documents", "doc_id", "text", "lang")
     one = search.match(search.postings(docs, "doc_id", ["text", "lang"]), "(text:the NOT text:and) AND lang:en").select(c("docid").alias("doc_id"))
-    two = search.scan(docs, ["text", "lang"], "text:^a*").select((c("doc_id") + 1000000).alias("doc_id"))
+    two = search.scan(docs, ["text", "lang"], "text:^b*").select((c("doc_id") + 1000000).alias("doc_id"))
     return one.unionAll(two)
 
 

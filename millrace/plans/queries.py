@@ -309,7 +309,7 @@ def set_flat_precedence(t):
 
 
 spark_sql("set_union_all", "SELECT n_name AS x FROM nation UNION ALL SELECT r_name FROM region")
-spark_sql("set_except", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+spark_sql("set_except", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000")
 spark_sql("set_except_all", "SELECT o_orderstatus AS s FROM orders EXCEPT ALL SELECT l_linestatus FROM lineitem WHERE l_quantity > 48")
 spark_sql("sub_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS m FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
 spark_sql("sub_in", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
