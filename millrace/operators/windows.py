@@ -18,6 +18,31 @@ def row_number(partition: list[str], order: list[Column], pk: list[str]) -> Colu
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order, *pk))
 
 
+def global_rank(df: DataFrame, order: list[tuple[str, bool]], parts: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` and ``dense_rank`` over all rows, which a window without partitions
+    would gather in one task. ``order`` has columns and whether each is descending; NULLs are
+    smallest. Rows are counted by key first, so ties cost nothing; the keys are dealt by
+    ranges, ranked in each range, and moved by what the ranges before hold."""
+    from .recursion import written
+
+    spark = df.sparkSession
+    keys = [c for c, _ in order]
+    by = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    dealt = written(counts.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_p").agg(F.sum("_n").alias("_rows"), F.count("*").alias("_keys"))
+    before = Window.orderBy("_p").rowsBetween(START, -1)  # one row for each range
+    moved = sizes.select("_p", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_keys").over(before), F.lit(0)).alias("_keys"))
+    w = Window.partitionBy("_p").orderBy(*by)
+    rank = F.coalesce(F.sum("_n").over(w.rowsBetween(START, -1)), F.lit(0)) + F.col("_rows") + 1
+    ranked = dealt.join(F.broadcast(moved), "_p").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], rank.alias("rank"), (F.row_number().over(w) + F.col("_keys")).alias("dense_rank"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(ranked, same).select(*df.columns, "rank", "dense_rank")
+
+
 def groups_frame(df: DataFrame, partition: list[str], order: list[Column], low: int, high: int, aggs: dict[str, Column]) -> DataFrame:
     """Aggregates over a GROUPS frame: offsets count peer groups, numbered by dense_rank, over
     which a RANGE frame is the same thing."""

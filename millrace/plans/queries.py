@@ -260,7 +260,11 @@ spark_sql("win_values", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f,
 spark_sql("win_rows_frame", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS s FROM lineitem")
 spark_sql("win_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM part")
 spark_sql("win_default_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size) AS running, count(*) OVER (PARTITION BY p_brand) AS whole FROM part")
-spark_sql("win_over_group", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, o_custkey) AS r FROM orders GROUP BY o_custkey HAVING count(*) > 2")
+@query("SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, o_custkey) AS r FROM orders GROUP BY o_custkey HAVING count(*) > 2")
+def win_over_group(t):
+    n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 2")
+    return windows.global_rank(n, [("n", True), ("o_custkey", False)]).select("o_custkey", "n", c("rank").alias("r"))
+
 
 
 @query("SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS s FROM part")
@@ -300,7 +304,17 @@ def top_k_each(t):
     return sorting.top_k_each(t.orders, ["o_custkey"], 2, F.desc("o_totalprice"), c("o_orderkey")).select("o_custkey", "o_orderkey", "rank")
 
 
-spark_sql("order_nulls", "SELECT s_suppkey, rank() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey END DESC NULLS LAST, s_suppkey) AS r FROM supplier")
+@query("SELECT s_suppkey, rank() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_nationkey END DESC NULLS LAST, s_suppkey) AS r FROM supplier")
+def order_nulls(t):
+    k = t.supplier.select("s_suppkey", F.when(c("s_suppkey") % 3 != 0, c("s_nationkey")).alias("k"))
+    return windows.global_rank(k, [("k", True), ("s_suppkey", False)]).select("s_suppkey", c("rank").alias("r"))
+
+
+@query("SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank FROM orders WINDOW w AS (ORDER BY CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END NULLS FIRST, o_orderstatus DESC)")
+def win_global_ties(t):
+    k = t.orders.select("o_orderkey", F.when(c("o_custkey") % 5 != 0, c("o_custkey")).alias("k"), "o_orderstatus")
+    return windows.global_rank(k, [("k", False), ("o_orderstatus", True)]).select("o_orderkey", "rank", "dense_rank")
+
 
 
 @query("(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) INTERSECT SELECT n_regionkey FROM nation")
