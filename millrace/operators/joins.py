@@ -6,6 +6,8 @@ decide broadcasts at run time (AQE); nothing here forces one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,29 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return binned.join(wide, "_bin").where(F.col(point).between(F.col(low), F.col(high))).drop("_bin")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each left row the right row of its key with the greatest time at or before its own
-    (an extension). A union and one window replace the pairs of a join."""
+    (an extension). A union and one window replace the pairs of a join. A key that holds much
+    of the table is one window's; ``bucket``, a function of the time that never falls (a day,
+    say), cuts each key into windows of their own, and the last right row of earlier buckets,
+    one row for each key and bucket, is carried into them."""
     tag = F.lit
     a = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values], tag(1).alias("_side"))
     b = right.select(*[F.col(c) if c in [*by, time] else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], *[F.col(v).alias(f"_{v}") for v in values], tag(0).alias("_side"))
-    w = Window.partitionBy(*by).orderBy(F.col(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b)
-    row = F.last(F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}") for v in values])), ignorenulls=True).over(w)
-    return both.withColumn("_r", row).where("_side = 1").select(*left.columns, *[F.col(f"_r._{v}").alias(v) for v in values])
+    keys = list(by)
+    if bucket:
+        both = both.withColumn("_b", bucket(F.col(time)))
+        keys.append("_b")
+    w = Window.partitionBy(*keys).orderBy(F.col(time), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}") for v in values]))
+    out = both.withColumn("_r", F.last(found, ignorenulls=True).over(w)).where("_side = 1")
+    if bucket:
+        ends = both.groupBy(*keys).agg(F.max_by(found, F.when(found.isNotNull(), F.col(time))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("_end", F.last("_end", ignorenulls=True).over(earlier)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_end")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = out.join(carried, same, "left").withColumn("_r", F.coalesce("_r", "_end"))
+    return out.select(*left.columns, *[F.col(f"_r._{v}").alias(v) for v in values])

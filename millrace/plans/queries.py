@@ -209,6 +209,14 @@ def join_asof(t):
     return joins.asof_join(t.events.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["last_purchase"]).select("event_id", "last_purchase")
 
 
+@query(ORACLE_SQL["join_asof"].replace("e.user_id = p.user_id AND ", "").replace("user_id, ts, max(event_id)", "ts, max(event_id)"))
+def join_asof_hot(t):
+    """All rows under one key, cut by hours."""
+    bought = t.events.where("event_type = 'purchase'").groupBy("ts").agg(F.max("event_id").alias("last_purchase")).withColumn("k", F.lit(1))
+    rows = t.events.select("event_id", "ts", F.lit(1).alias("k"))
+    return joins.asof_join(rows, bought, ["k"], "ts", ["last_purchase"], lambda x: F.date_trunc("hour", x)).select("event_id", "last_purchase")
+
+
 # -- aggregates ---------------------------------------------------------------------------
 
 spark_sql("tpch_q1", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
