@@ -54,8 +54,9 @@ def positions(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     found = F.transform(fresh, lambda x: F.struct(x["least"]["f"].alias("fp"), F.filter(F.slice("windows", x["i"] + 1, run), lambda y: y["least"]["p"] == x["least"]["p"]).alias("windows")))
     if alone and run > 1:
         # a long line is a window of its own, with the key of a document that has no other line
-        single = F.filter(F.transform("hs", lambda x, i: F.struct(i.alias("i"), x["long"].alias("long"))), lambda x: x["long"])
-        found = F.concat(found, F.transform(F.transform(single, lambda x: window(x["i"], F.lit(1))), lambda x: F.struct(x["least"]["f"].alias("fp"), F.array(x).alias("windows"))))
+        at = F.transform("hs", lambda x, i: F.struct(x["long"].alias("long"), x["f"].alias("fp"), i.alias("i"), x["at"].alias("at"), x["h"].alias("h")))
+        one = lambda x: F.struct(x["i"].alias("i"), F.struct(x["fp"].alias("f"), (-x["i"]).alias("p")).alias("least"), F.array(x["at"]).alias("lines"), F.unhex(F.md5(x["h"])).alias("key"))
+        found = F.concat(found, F.transform(F.filter(at, lambda x: x["long"]), lambda x: F.struct(x["fp"], F.array(one(x)).alias("windows"))))
     out = rows.select("id", "rk", F.explode(found).alias("x"))
     return out.select("id", "rk", "x.fp", F.transform("x.windows", lambda y: F.struct(y["i"], y["lines"], y["key"])).alias("windows"))
 
