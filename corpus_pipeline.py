@@ -34,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     that an earlier place has; a document of which nothing is left goes, one that had no
     lines to begin with stays."""
     out = line_dedup.remove_repeated_runs(docs.select(*COLUMNS), alone=LONG_LINE)
-    left = F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))) > 0
+    left = F.coalesce("text", F.lit("")).rlike(r"\S")
     out = out.where((F.col("n_removed") == 0) | left)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
