@@ -98,9 +98,14 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     return out.select(*final, F.size("ls").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
+#: Words of a line that the query takes as a repeat wherever it stands.
+LONG_LINE = 50
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest over all documents: doc_id, n_lines, n_removed, kept_sha256."""
-    out = remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Digest over all documents: doc_id, n_lines, n_removed, kept_sha256. Runs of two lines
+    go, and single lines of ``LONG_LINE`` words or more."""
+    out = remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), alone=LONG_LINE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -109,11 +114,13 @@ WITH l AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id) AS m
       FROM l WHERE regexp_matches(line, '[^ \\t\\r\\x0B\\f]')),
-w AS (SELECT doc_id, i, pos, lead(pos) OVER d AS pos2, m,
+w AS (SELECT doc_id, i, CASE WHEN m = 1 THEN [pos] ELSE [pos, lead(pos) OVER d] END AS places,
              CASE WHEN m = 1 THEN line ELSE line || chr(10) || lead(line) OVER d END AS key
-      FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+      FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+      UNION ALL
+      SELECT doc_id, i, [pos], line FROM n WHERE m > 1 AND len(regexp_extract_all(line, '[^ \\t\\r\\x0B\\f]+')) >= 50),
 v AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS k FROM w WHERE key IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN m = 1 THEN [pos] ELSE [pos, pos2] END) AS pos FROM v WHERE k > 1)
+g AS (SELECT DISTINCT doc_id, unnest(places) AS pos FROM v WHERE k > 1)
 SELECT l.doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(g.pos) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
