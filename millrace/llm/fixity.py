@@ -121,3 +121,19 @@ def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     replica is made from it by ``damaged``."""
     rows = records(table(spark, sf_dir, "pages"))
     return audit(rows, damaged(rows))
+
+
+#: The same by plain comparison of the records, as hex text; rows without an id are never damaged.
+ORACLE = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS id, hex('WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'Content-Length: ' || strlen(coalesce(html, ''))
+             || CASE WHEN html IS NULL THEN e || 'WARC-Truncated: unspecified' ELSE '' END || coalesce(e || 'WARC-Target-URI: ' || url, '') || e || 'Content-Type: text/html; charset=utf-8' || e || e
+             || coalesce(html, '') || e || e) AS h
+           FROM pages, (SELECT chr(13) || chr(10) AS e) WHERE page_id IS NOT NULL),
+r AS (SELECT id, CASE WHEN id % 97 = 7 THEN substr(h, 1, 2 * k) || CASE WHEN substr(h, 2 * k + 1, 2) = '20' THEN '21' ELSE '20' END || substr(h, 2 * k + 3) WHEN id % 101 = 7 THEN substr(h, 1, 2 * k) ELSE h END AS h
+      FROM (SELECT *, len(h) // 4 AS k FROM p) WHERE id % 103 <> 7),
+a AS (SELECT id, sum(n * size) AS size, string_agg(t, ',' ORDER BY t) AS told FROM (SELECT id, len(h) // 2 AS size, count(*) AS n, CASE WHEN count(*) > 1 THEN count(*) || 'x' ELSE '' END || sha256(unhex(h)) AS t FROM p GROUP BY id, h) GROUP BY id),
+b AS (SELECT id, string_agg(t, ',' ORDER BY t) AS told FROM (SELECT id, CASE WHEN count(*) > 1 THEN count(*) || 'x' ELSE '' END || sha256(unhex(h)) AS t FROM r GROUP BY id, h) GROUP BY id),
+o AS (SELECT *, sum(size) OVER (PARTITION BY id // 1024 ORDER BY id) AS till FROM a)
+SELECT o.id AS page_id, o.id // 1024 AS file, CAST(till - size AS BIGINT) AS start, CAST(till AS BIGINT) AS "end", CASE WHEN b.told IS NULL THEN 'missing' ELSE 'changed' END AS state, o.told AS expected, b.told AS found
+FROM o LEFT JOIN b ON o.id = b.id WHERE o.told IS DISTINCT FROM b.told
+"""

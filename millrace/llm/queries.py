@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_merkle_audit": fixity.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_jaccard_join": jaccard_join.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
