@@ -181,3 +181,16 @@ def test_scripts():
     assert statements("CREATE TABLE t (a TEXT); INSERT INTO t VALUES (';'); CREATE TRIGGER x AFTER INSERT ON t BEGIN DELETE FROM t; SELECT 1; END; SELECT 2") == [
         "CREATE TABLE t (a TEXT)", "INSERT INTO t VALUES (';')", "CREATE TRIGGER x AFTER INSERT ON t BEGIN DELETE FROM t; SELECT 1; END", "SELECT 2",
     ]
+
+
+def test_a_cascade_is_undone_as_a_whole(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.execute("CREATE TABLE p (a INTEGER PRIMARY KEY)")
+    db.execute("CREATE TABLE c (id INTEGER PRIMARY KEY, a INTEGER REFERENCES p (a) ON DELETE CASCADE)")
+    db.execute("INSERT INTO p VALUES (1), (2)")
+    db.execute("INSERT INTO c VALUES (1, 1), (2, 2)")
+    db.execute("CREATE TRIGGER stop AFTER DELETE ON c BEGIN SELECT RAISE(ABORT, 'no') WHERE OLD.id = 2; END")
+    with pytest.raises(ValueError, match="no"):
+        db.execute("DELETE FROM p")
+    assert db.query("SELECT (SELECT count(*) FROM p), (SELECT count(*) FROM c)").first()[:] == (2, 2)
+    assert db.execute("DELETE FROM p WHERE a = 1") == 1 and db.query("SELECT id FROM c").first()[0] == 2
