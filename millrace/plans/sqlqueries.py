@@ -447,3 +447,11 @@ def database_attach(db, source):
     db.execute("CREATE TABLE nation AS SELECT n_nationkey AS k, n_regionkey AS r FROM src_nation")
     db.catalog.attach("far", other.catalog.root)
     return db.query("SELECT n.k, f.name FROM nation n JOIN far_region f ON n.r = f.r")
+
+
+@database("SELECT n_nationkey AS k, n_name || '/' || 7 AS name FROM nation WHERE n_nationkey >= 20")
+def ddl_procedure(db, source):
+    source("nation")
+    db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY, name TEXT)")
+    db.execute("CREATE PROCEDURE fill (low integer, mark text) AS $$ INSERT INTO t SELECT n_nationkey, n_name FROM src_nation WHERE n_nationkey >= :low; UPDATE t SET name = name || :mark; SELECT * FROM t $$")
+    return db.execute("CALL fill(4 * ?, '/' || 7)", [5])

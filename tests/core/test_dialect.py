@@ -194,3 +194,27 @@ def test_a_cascade_is_undone_as_a_whole(spark, tmp_path):
         db.execute("DELETE FROM p")
     assert db.query("SELECT (SELECT count(*) FROM p), (SELECT count(*) FROM c)").first()[:] == (2, 2)
     assert db.execute("DELETE FROM p WHERE a = 1") == 1 and db.query("SELECT id FROM c").first()[0] == 2
+
+
+def test_procedures_and_budgets(spark, tmp_path):
+    from millrace.plans.procedures import Budget, Procedures
+
+    db = Database(spark, str(tmp_path / "db"))
+    db.execute("CREATE TABLE t (k INTEGER PRIMARY KEY)")
+    db.execute("CREATE PROCEDURE two (a integer) AS $$ INSERT INTO t VALUES (:a); INSERT INTO t VALUES (:a + 1) $$")
+    assert db.execute("CALL two(1)") == 1
+    with pytest.raises(ValueError, match="unique"):
+        db.execute("CALL two(0)")  # the second statement clashes; the first is undone
+    assert [r[0] for r in Database(spark, str(tmp_path / "db")).query("SELECT k FROM t ORDER BY k").collect()] == [1, 2]
+    for bad in ("CALL two()", "CALL three(1)", "CREATE PROCEDURE two (a integer) AS $$ SELECT 1 $$"):
+        with pytest.raises(ValueError):
+            db.execute(bad)
+    db.execute("DROP PROCEDURE two")
+    p = Procedures(db, calls=2, rows=3)
+    p.create("many", ["n"], lambda e, n: [e.rows("SELECT k FROM t") for _ in range(n)])
+    assert len(p.call("many", 1)[0]) == 2
+    with pytest.raises(Budget, match="rows"):
+        p.call("many", 2)
+    p.create("ask", ["n"], lambda e, n: [e.query("SELECT 1") for _ in range(n)])
+    with pytest.raises(Budget, match="queries"):
+        p.call("ask", 3)
