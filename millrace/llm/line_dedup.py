@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 from .cluster import cut, table
 
 
-def _words(line: F.Column) -> F.Column:
-    return F.size(F.filter(F.split(line, r"[ \t\r\x0B\f]+", -1), lambda x: x != ""))
+def _long(line: F.Column, words: int) -> F.Column:
+    """Whether a line has so many words; no more of it is read than that takes."""
+    space = r" \t\r\x0B\f"
+    return line.rlike(rf"^[{space}]*+(?:[^{space}]++[{space}]++){{{words - 1}}}[^{space}]")
 
 
 def positions(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     """(id, rk, fp, windows): one row for each selected position of each document, with the
     windows (i, lines, key) of which it is the minimum; made without a shuffle."""
-    # a line of n words has 2n - 1 characters at least; few are that long
-    long = (lambda x: F.when(F.char_length(x) >= 2 * alone - 1, _words(x) >= alone).otherwise(False)) if alone else lambda x: F.lit(False)
+    # a line of n words has 2n - 1 bytes at least
+    long = (lambda x: F.when(F.octet_length(x) >= 2 * alone - 1, _long(x, alone)).otherwise(False)) if alone else lambda x: F.lit(False)
     lines = F.transform(
         F.split(F.coalesce("t", F.lit("")), "\n", -1),
         lambda x, i: F.struct(i.alias("at"), long(x).alias("long"), F.xxhash64(x).alias("f"), F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", F.unhex(F.md5(x))).alias("h")),
@@ -51,10 +53,13 @@ def positions(docs: DataFrame, run: int, alone: int | None) -> DataFrame:
     rows = rows.withColumn("windows", F.transform(starts, lambda i: window(i, F.lit(run))))
     # minima move only forwards, so the windows of one stand together: at most ``run`` of them
     fresh = F.filter("windows", lambda x, k: (k == 0) | (F.get("windows", k - 1)["least"]["p"] != x["least"]["p"]))
-    found = F.transform(fresh, lambda x: F.struct(x["least"]["f"].alias("fp"), F.filter(F.slice("windows", x["i"] + 1, run), lambda y: y["least"]["p"] == x["least"]["p"]).alias("windows")))
+    # shorter windows (short documents, long lines) have fingerprints of their own, so that a
+    # line which is also a minimum of longer ones does not look repeated
+    fp = lambda x: F.when(F.size(x["lines"]) < run, F.xxhash64(x["least"]["f"], F.size(x["lines"]))).otherwise(x["least"]["f"])
+    found = F.transform(fresh, lambda x: F.struct(fp(x).alias("fp"), F.filter(F.slice("windows", x["i"] + 1, run), lambda y: y["least"]["p"] == x["least"]["p"]).alias("windows")))
     if alone and run > 1:
         # a long line is a window of its own, with the key of a document that has no other line
-        at = F.transform("hs", lambda x, i: F.struct(x["long"].alias("long"), x["f"].alias("fp"), i.alias("i"), x["at"].alias("at"), x["h"].alias("h")))
+        at = F.transform("hs", lambda x, i: F.struct(x["long"].alias("long"), F.xxhash64(x["f"], F.lit(1)).alias("fp"), i.alias("i"), x["at"].alias("at"), x["h"].alias("h")))
         one = lambda x: F.struct(x["i"].alias("i"), F.struct(x["fp"].alias("f"), (-x["i"]).alias("p")).alias("least"), F.array(x["at"]).alias("lines"), F.unhex(F.md5(x["h"])).alias("key"))
         found = F.concat(found, F.transform(F.filter(at, lambda x: x["long"]), lambda x: F.struct(x["fp"], F.array(one(x)).alias("windows"))))
     out = rows.select("id", "rk", F.explode(found).alias("x"))
