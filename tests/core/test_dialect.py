@@ -34,6 +34,7 @@ def rows(df):
         ("SELECT id FROM t ORDER BY v LIMIT 1", [(3,)]),
         ("SELECT (1, NULL) = (2, 2), (1, NULL) = (1, 2), (1, 2) IN ((3, 4), (1, 2))", [(False, None, True)]),
         ("SELECT max(v), id FROM t", [(2.5, 1)]),
+        ("SELECT max(id), name, count(*) AS n FROM t GROUP BY name COLLATE NOCASE ORDER BY n DESC LIMIT 1", [(2, "ABC", 2)]),
         ("SELECT count(*), total(v), sum(id) / 3 FROM t WHERE name IS NOT NULL", [(3, -5.0, 2)]),
         ("SELECT id / 2 AS h, count(*) AS n FROM t GROUP BY h HAVING n > 1 ORDER BY h", [(1, 2)]),
         ("SELECT 'it''s', 'say :near: x', \"id\" FROM t WHERE id = 1 -- comment ?", [("it's", "say :near: x", 1)]),
