@@ -51,6 +51,23 @@ def sqlite_round_trip(t):
     return t.spark.createDataFrame(read_sqlite(t.spark, path, "nation").collect(), "n_nationkey long, n_name string, n_regionkey long")
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def jdbc_round_trip(t):
+    """To a server and back in ranges of the key. The server is the embedded one that comes with
+    Spark, in the memory of this process, so the rows are taken out before it goes."""
+    import uuid
+
+    from ..sources.jdbc import read_jdbc, write_jdbc
+
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    orders = t("orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    write_jdbc(orders, url, "orders", "overwrite", driver=driver)
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    from ..operators.recursion import written
+
+    return written(read_jdbc(t.spark, url, "orders", "o_orderkey", low, high, 4, driver=driver), "jdbc")
+
+
 @query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'bad' END AS bad FROM nation")
 def sqlite_validated(t):
     from ..sources.sqlite import validated
