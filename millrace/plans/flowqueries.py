@@ -40,13 +40,18 @@ def query(oracle: str):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def sqlite_round_trip(t):
-    """Written as one file by the driver, read by rowid ranges. The file lies beside the driver,
-    as such a file does; a cluster needs a path that all its machines mount."""
-    import tempfile
+    """Written as one file by the driver, read by rowid ranges. The file lies in the shared
+    checkpoint folder, which has to be a path that all machines mount."""
+    import os
+    from urllib.parse import urlparse
 
     from ..sources.sqlite import read_sqlite, write_sqlite
 
-    path = f"{tempfile.mkdtemp()}/out.db"
+    shared = urlparse(folder(t.spark, "sqlite"))
+    if shared.scheme not in ("", "file"):
+        raise ValueError("a SQLite file needs a mounted folder")
+    os.makedirs(shared.path)
+    path = f"{shared.path}/out.db"
     write_sqlite(t("nation"), path, "nation")
     return t.spark.createDataFrame(read_sqlite(t.spark, path, "nation").collect(), "n_nationkey long, n_name string, n_regionkey long")
 
