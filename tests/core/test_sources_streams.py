@@ -1,10 +1,14 @@
+import os
 import sqlite3
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.engine import Engine, Macros, compile_pure
-from millrace.sources import catalog, csvs, sqlite
+from millrace.sources import catalog, csvs, jdbc, sqlite
 from millrace.streaming import cdc, events, ingest, lens, sync, tiering
 
 c = F.col
@@ -175,3 +179,33 @@ def test_engine(spark, tmp_path):
             compile_pure(bad)
     with pytest.raises(RuntimeError):
         compile_pure("def g(a):\n    while True:\n        a += 1\n", 100)[1](1)
+
+
+def test_derby_archive(spark, tmp_path):
+    schema = "k long, s string, x double"
+    df = spark.createDataFrame([(1, "a,\"b'\n", 1.5), (2, "", None), (3, None, -0.1), (9, "é", 1e300)], schema).repartition(3)
+    url = jdbc.write_derby(df, str(tmp_path / "t.jar"), "t")
+    for keyed in ((), ("k", 1, 9, 4)):
+        assert rows(jdbc.read_jdbc(spark, url, "t", *keyed, driver=jdbc.DERBY)) == rows(df)
+    none = jdbc.write_derby(df.where("k > 9"), str(tmp_path / "none.jar"), "t")
+    assert not jdbc.read_jdbc(spark, none, "t", "k", None, None, driver=jdbc.DERBY).count()
+
+
+def test_jdbc_round_trip_between_processes(tmp_path):
+    """Executors of their own see no database of the driver's memory."""
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables are not here")
+    code = f"""
+from pyspark.sql import SparkSession
+from millrace.plans.queries import QUERIES
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+got = QUERIES["jdbc_round_trip"](spark, "{data}")
+want = spark.read.parquet("{data}/orders.parquet").select(*got.columns)
+print("ROWS", got.count(), got.exceptAll(want).count(), want.exceptAll(got).count())
+"""
+    here = Path(__file__).resolve().parents[2]
+    env = os.environ | {"PYTHONPATH": f"{here}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
+    assert "ROWS 1500 0 0" in done.stdout, done.stderr[-2000:]
