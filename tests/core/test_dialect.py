@@ -219,3 +219,16 @@ def test_procedures_and_budgets(spark, tmp_path):
     p.create("ask", ["n"], lambda e, n: [e.query("SELECT 1") for _ in range(n)])
     with pytest.raises(Budget, match="queries"):
         p.call("ask", 3)
+
+
+def test_not_in_is_an_equi_join_of_three_values(spark):
+    e = Engine(spark)
+    e.register("a", spark.createDataFrame([(1, 1), (2, None), (3, 3)], "id long, x int"))
+    for ys, want in (([], [True, True, True]), ([1], [False, None, True]), ([1, None], [False, None, None]), ([None], [None, None, None]), ([4], [True, None, True])):
+        e.register("b", spark.createDataFrame([(y,) for y in ys], "y long"))
+        for no in ("x NOT IN (SELECT y FROM b)", "NOT x IN b", "NOT (x IN (SELECT y FROM b))", "x <> ALL (SELECT y FROM b)"):
+            assert [r["z"] for r in e.query(f"SELECT id, {no} AS z FROM a").orderBy("id").collect()] == want
+            df = e.query(f"SELECT id FROM a WHERE {no} OR id = 1")
+            assert sorted(r[0] for r in df.collect()) == sorted({1} | {i for i, z in enumerate(want, 1) if z})
+            assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(e.query("SELECT id FROM a WHERE x NOT IN (SELECT y FROM b WHERE y > id) OR id = 9")) == [(1,), (3,)]  # correlated
