@@ -93,18 +93,106 @@ _FOLDS = {
 }
 
 
+#: Parts of an aggregate: made from rows, merged over parts, joined from two that may be NULL, folded from an array.
+_MERGED = {
+    "count": (F.count, F.sum, lambda a, b: F.coalesce(a + b, a, b), lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)),
+    "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b), lambda xs: F.aggregate(F.slice(xs, 2, F.size(xs)), F.get(xs, F.lit(0)), lambda s, x: s + x)),
+    "min": (F.min, F.min, F.least, F.array_min),
+    "max": (F.max, F.max, F.greatest, F.array_max),
+    "first_value": (F.min, F.min, F.least, F.array_min),
+    "last_value": (F.max, F.max, F.greatest, F.array_max),
+}
+
+
 def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool = False) -> DataFrame:
     """Any aggregates (name: (function, column)) over a ``rows``, ``range`` or ``groups`` frame
     with EXCLUDE no others, current row, group or ties. Functions: count, sum, min, max, avg,
-    array_agg, group_concat, first_value, last_value. The frame's rows are gathered for each
-    row, so a frame has to be bounded; for sum and count over ROWS ``exclude_sum_count``
-    gathers nothing. An empty frame gives NULL, and 0 for count."""
+    array_agg, group_concat, first_value, last_value. An empty frame gives NULL, and 0 for count.
+
+    RANGE and GROUPS frames hold whole peer groups, however large: these are aggregated first,
+    frames run over one row for each group, and what is left of a row's own group is added.
+    The frame's rows are gathered for each row only over ROWS, where offsets bound them, and
+    for array_agg and group_concat, which return them; so a frame has to be bounded. For sum
+    and count over ROWS ``exclude_sum_count`` gathers nothing."""
     kind, low, high = frame
-    if exclude_ not in ("no others", "current row", "group", "ties") or kind not in ("rows", "range", "groups"):
-        raise ValueError(f"{kind} ... EXCLUDE {exclude_}?")
+    if exclude_ not in ("no others", "current row", "group", "ties") or kind not in ("rows", "range", "groups") or low > high:
+        raise ValueError(f"{kind} {low} to {high} ... EXCLUDE {exclude_}?")
     unknown = [f for f, _ in aggs.values() if f not in _FOLDS and f != "avg"]
     if unknown:
         raise ValueError(f"unknown functions {unknown}")
+    merged = kind != "rows" and all(f in _MERGED or f == "avg" for f, _ in aggs.values())
+    return (_exclude_merged if merged else _exclude_gathered)(df, partition, order, frame, exclude_, aggs, pk, descending)
+
+
+def _exclude_merged(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
+    kind, low, high = frame
+    parts = {p: f"_s{i}" for i, p in enumerate(dict.fromkeys((s, x) for f, x in aggs.values() for s in (("sum", "count") if f == "avg" else (f,))))}
+    placed = any(s in ("first_value", "last_value") for s, _ in parts)
+    peers = Window.partitionBy(*partition, order)
+    rows = df.withColumn("_i", F.row_number().over(peers.orderBy(*pk))) if placed or exclude_ == "current row" else df
+
+    def value(s: str, x: str) -> Column:
+        return F.struct("_i", F.col(x).alias("x")) if s in ("first_value", "last_value") else F.col(x)
+
+    def at(s: str, part: Column) -> Column:
+        """A first or last row with its group's number, by which they compare."""
+        return F.when(part.isNotNull(), F.struct("_g", part.alias("r"))) if s in ("first_value", "last_value") else part
+
+    # one row for each peer group, and what its frame holds besides the group
+    keys = [f"_k{i}" for i in range(len(partition))]
+    made = [_MERGED[s][0](value(s, x)).alias(n) for (s, x), n in parts.items()]
+    groups = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(partition, keys, strict=True)], F.col(order).alias("_o")).agg(*made)
+    by = F.desc("_o") if descending else F.asc("_o")
+    along = Window.partitionBy(*keys).orderBy(by)
+    groups = groups.withColumn("_g", F.row_number().over(along)).withColumns({n: at(s, F.col(n)) for (s, _), n in parts.items()})
+
+    def span(lo: int, hi: int) -> Window:
+        return along.rowsBetween(lo, hi) if kind == "groups" else along.rangeBetween(lo, hi)
+
+    sides = [(low, high)] if exclude_ == "no others" else [x for x in ((low, min(high, -1)), (max(low, 1), high)) if x[0] <= x[1]]
+    whole = kind == "groups" or dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint", "date")
+    rest = {}
+    for (s, _), n in parts.items():
+        _, merge, both, fold = _MERGED[s]
+        if exclude_ == "no others" or whole:
+            got = [merge(n).over(span(*x)) for x in sides]
+            got = got[0] if len(got) == 1 else both(*got) if got else F.lit(None).cast(groups.schema[n].dataType)
+            # NULL keys are peers, and their RANGE frame is their group, whatever the offsets
+            rest[n] = got if exclude_ == "no others" or kind == "groups" else F.when(F.col("_o").isNotNull(), got)
+        else:  # no step before or after a key that is no whole number: the groups of a frame, without its own
+            near = F.filter(F.collect_list(F.struct("_g", F.col(n).alias("s"))).over(span(low, high)), lambda r: r["_g"] != F.col("_g"))
+            known = F.array_compact(F.transform(near, lambda r: r["s"]))
+            rest[n] = F.when(F.size(known) > 0, fold(known))
+    groups = groups.select(*keys, "_o", "_g", *[v.alias(n) for n, v in rest.items()])
+
+    # what is left of the group itself
+    left = {}
+    if exclude_ == "current row":
+        for (s, x), n in parts.items():
+            make, _, both, _ = _MERGED[s]
+            left[f"_l{n}"] = both(make(value(s, x)).over(peers.orderBy("_i").rowsBetween(START, -1)), make(value(s, x)).over(peers.orderBy(F.desc("_i")).rowsBetween(START, -1)))
+    elif exclude_ == "ties":
+        for (s, x), n in parts.items():
+            left[f"_l{n}"] = F.when(F.col(x).isNotNull(), 1).otherwise(0).cast("long") if s == "count" else value(s, x).cast(groups.schema[n].dataType) if s == "sum" else value(s, x)
+    rows = rows.withColumns(left) if left else rows
+    same = F.col(order).eqNullSafe(F.col("_o"))
+    for c, k in zip(partition, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    inside = F.lit(low <= 0 <= high) | (F.lit(kind == "range") & F.col("_o").isNull())
+
+    def total(s: str, x: str) -> Column:
+        n = parts[s, x]
+        out = _MERGED[s][2](F.col(n), F.when(inside, at(s, F.col(f"_l{n}")))) if left else F.col(n)
+        return F.coalesce(out, F.lit(0)).cast("long") if s == "count" else out["r"]["x"] if s in ("first_value", "last_value") else out
+
+    def result(f: str, x: str) -> Column:
+        return F.try_divide(total("sum", x).cast("double"), total("count", x)) if f == "avg" else total(f, x)
+
+    return rows.join(groups, same).select(*df.columns, *[result(f, x).alias(n) for n, (f, x) in aggs.items()])
+
+
+def _exclude_gathered(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
+    kind, low, high = frame
     by = F.desc(order) if descending else F.asc(order)
     w = Window.partitionBy(*partition).orderBy(by, *pk)
     d = df.withColumn("_rn", F.row_number().over(w)).withColumn("_g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(by)))

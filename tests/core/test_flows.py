@@ -1,6 +1,7 @@
 """Receipts, maps, lenses, parking, frames and the connection: what their queries leave out."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import windows
 from millrace.plans import dbapi
@@ -116,3 +117,28 @@ def test_access_sees_names_not_text(spark):
     e.register("b", spark.createDataFrame([(1, 2)], "x long, z long"))
     assert e.access("SELECT 'b' FROM a q WHERE q.x = 1 /* b.z */") == {"a": ["x"]}
     assert e.access("SELECT * FROM a WHERE y IN (SELECT z FROM b)") == {"a": ["x", "y"], "b": ["z"]}
+
+
+KINDS = ["current row"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_frames_of_whole_peer_groups_gather_no_rows(spark, kind):
+    data = [(i, i % 7 % 3, None if i % 11 == 0 else i * i % 6, None if i % 5 == 0 else i * 37 % 23) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, p int, o int, x int")
+    aggs = {f: (f, "x") for f in ("count", "sum", "min", "max", "avg", "first_value", "last_value")}
+    for name, low, high in (("range", -2, 1), ("groups", -1, 1), ("range", 1, 2), ("groups", -2, -1), ("range", 0, 0)):
+        for column, of in (("o", int), ("h", float)):
+            d = df.withColumn("h", F.col("o").cast("double"))
+            got = windows.exclude(d, ["p"], column, (name, low, high), kind, aggs, ["id"])
+            if of is int or name == "groups":
+                assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+            want = []
+            for i, p, o, _ in data:
+                rows_ = sorted((r for r in data if r[1] == p), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+                keys = list(dict.fromkeys(r[2] for r in rows_))
+                near = {k for k in keys if (low <= keys.index(k) - keys.index(o) <= high if name == "groups" else k == o if None in (k, o) else low <= k - o <= high)}
+                left = [r for r in rows_ if r[2] in near and (kind == "no others" or r[0] != i if kind in ("no others", "current row") else r[2] != o or (kind == "ties" and r[0] == i))]
+                xs = [r[3] for r in left if r[3] is not None]
+                want.append((i, len(xs), *((sum(xs), min(xs), max(xs), sum(xs) / len(xs)) if xs else (None,) * 4), *((left[0][3], left[-1][3]) if left else (None, None))))
+            assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
