@@ -119,7 +119,7 @@ def test_access_sees_names_not_text(spark):
     assert e.access("SELECT * FROM a WHERE y IN (SELECT z FROM b)") == {"a": ["x", "y"], "b": ["z"]}
 
 
-KINDS = ["current row", "group", "no others"]
+KINDS = ["current row", "group", "no others", "ties"]
 
 
 @pytest.mark.parametrize("kind", KINDS)
