@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -104,6 +107,10 @@ _MERGED = {
 }
 
 
+#: Rows of a ROWS frame up to which EXCLUDE GROUP holds them as columns.
+NEAR = 16
+
+
 def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool = False) -> DataFrame:
     """Any aggregates (name: (function, column)) over a ``rows``, ``range`` or ``groups`` frame
     with EXCLUDE no others, current row, group or ties. Functions: count, sum, min, max, avg,
@@ -111,7 +118,8 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
 
     RANGE and GROUPS frames hold whole peer groups, however large: these are aggregated first,
     frames run over one row for each group, and what is left of a row's own group is added.
-    The frame's rows are gathered for each row only over ROWS, where offsets bound them, and
+    ROWS frames of up to ``NEAR`` rows without peers hold their rows as columns. The frame's
+    rows are gathered for each row only over other ROWS frames, where offsets bound them, and
     for array_agg and group_concat, which return them; so a frame has to be bounded. For sum
     and count over ROWS ``exclude_sum_count`` gathers nothing."""
     kind, low, high = frame
@@ -120,8 +128,51 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
     unknown = [f for f, _ in aggs.values() if f not in _FOLDS and f != "avg"]
     if unknown:
         raise ValueError(f"unknown functions {unknown}")
-    merged = kind != "rows" and all(f in _MERGED or f == "avg" for f, _ in aggs.values())
-    return (_exclude_merged if merged else _exclude_gathered)(df, partition, order, frame, exclude_, aggs, pk, descending)
+    merged = all(f in _MERGED or f == "avg" for f, _ in aggs.values())
+    if merged and kind == "rows" and exclude_ == "group" and high - low < NEAR:
+        return _exclude_near(df, partition, order, frame, exclude_, aggs, pk, descending)
+    return (_exclude_merged if merged and kind != "rows" else _exclude_gathered)(df, partition, order, frame, exclude_, aggs, pk, descending)
+
+
+def _exclude_near(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
+    """Narrow ROWS frames without peers: a column for each place in the frame, NULL where its row is a peer."""
+    _, low, high = frame
+    w = Window.partitionBy(*partition).orderBy(F.desc(order) if descending else F.asc(order), *pk)
+    places = [k for k in range(low, high + 1) if k or exclude_ == "ties"]
+    inputs = list(dict.fromkeys(x for _, x in aggs.values()))
+
+    def near(k: int, x: Column) -> Column:
+        return F.lag(x, -k).over(w) if k < 0 else F.lead(x, k).over(w) if k else x
+
+    rows = df.select("*", *[near(k, x).alias(f"_{n}{k}") for k in places for n, x in (("r", F.lit(True)), ("o", F.col(order)), *((f"x{i}_", F.col(x)) for i, x in enumerate(inputs)))])
+    # _l: whether there is such a row and it is left
+    left = {k: F.col(f"_r{k}").isNotNull() & ~F.col(f"_o{k}").eqNullSafe(F.col(order)) if k else F.lit(True) for k in places}
+    rows = rows.select(*df.columns, *[x.alias(f"_l{k}") for k, x in left.items()], *[F.when(x, F.col(f"_x{i}_{k}")).alias(f"_v{i}_{k}") for k, x in left.items() for i in range(len(inputs))])
+
+    def total(s: str, x: str) -> Column:
+        xs = {k: F.col(f"_v{inputs.index(x)}_{k}") for k in places}
+        if s == "count":
+            return sum((F.when(v.isNotNull(), 1).otherwise(0) for v in xs.values()), F.lit(0)).cast("long")
+        kind = _kind(df, s, x)
+        if not xs:
+            return F.lit(None).cast(kind)
+        if s in ("first_value", "last_value"):
+            at = [F.when(F.col(f"_l{k}"), F.struct(v.alias("x"))) for k, v in xs.items()]
+            return F.coalesce(*(at if s == "first_value" else at[::-1]))["x"]
+        if s == "sum":
+            zero = F.lit(0).cast(kind)
+            return F.when(F.coalesce(*xs.values()).isNotNull(), sum((F.coalesce(v.cast(kind), zero) for v in xs.values()), zero).cast(kind))
+        return next(iter(xs.values())) if len(xs) == 1 else _MERGED[s][2](*xs.values())
+
+    return rows.select(*df.columns, *_results(total, aggs))
+
+
+def _kind(df: DataFrame, s: str, x: str) -> DataType:
+    return df.select(F.sum(x)).schema[0].dataType if s == "sum" else df.schema[x].dataType
+
+
+def _results(total: Callable[[str, str], Column], aggs: dict[str, tuple[str, str]]) -> list[Column]:
+    return [(F.try_divide(total("sum", x).cast("double"), total("count", x)) if f == "avg" else total(f, x)).alias(n) for n, (f, x) in aggs.items()]
 
 
 def _exclude_merged(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
@@ -185,10 +236,7 @@ def _exclude_merged(df: DataFrame, partition: list[str], order: str, frame: tupl
         out = _MERGED[s][2](F.col(n), F.when(inside, at(s, F.col(f"_l{n}")))) if left else F.col(n)
         return F.coalesce(out, F.lit(0)).cast("long") if s == "count" else out["r"]["x"] if s in ("first_value", "last_value") else out
 
-    def result(f: str, x: str) -> Column:
-        return F.try_divide(total("sum", x).cast("double"), total("count", x)) if f == "avg" else total(f, x)
-
-    return rows.join(groups, same).select(*df.columns, *[result(f, x).alias(n) for n, (f, x) in aggs.items()])
+    return rows.join(groups, same).select(*df.columns, *_results(total, aggs))
 
 
 def _exclude_gathered(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:

@@ -142,3 +142,27 @@ def test_frames_of_whole_peer_groups_gather_no_rows(spark, kind):
                 xs = [r[3] for r in left if r[3] is not None]
                 want.append((i, len(xs), *((sum(xs), min(xs), max(xs), sum(xs) / len(xs)) if xs else (None,) * 4), *((left[0][3], left[-1][3]) if left else (None, None))))
             assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
+
+
+ROWS_KINDS = ["group"]
+
+
+@pytest.mark.parametrize("kind", ROWS_KINDS)
+@pytest.mark.parametrize("down", [False, True])
+def test_frames_of_rows_gather_no_rows(spark, kind, down):
+    data = [(i, i % 7 % 3, None if i % 11 == 0 else i * i % 6, None if i % 5 == 0 else i * 37 % 23) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, p int, o int, x int")
+    aggs = {f: (f, "x") for f in ("count", "sum", "min", "max", "avg", "first_value", "last_value")}
+    for low, high in ((-3, 1), (-2, -1), (1, 4), (0, 0), (-6, 9), (-20, 20)):
+        got = windows.exclude(df, ["p"], "o", ("rows", low, high), kind, aggs, ["id"], down)
+        if high - low < 16 or kind in ("no others", "current row"):
+            assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = []
+        for i, p, o, _ in data:
+            rows_ = sorted((r for r in data if r[1] == p), key=lambda r: ((r[2] is None) == down, -(r[2] or 0) if down else r[2] or 0, r[0]))
+            at = [r[0] for r in rows_].index(i)
+            near = rows_[max(0, at + low) : max(0, at + high + 1)]
+            left = [r for r in near if kind == "no others" or (r[0] != i if kind == "current row" else r[2] != o or (kind == "ties" and r[0] == i))]
+            xs = [r[3] for r in left if r[3] is not None]
+            want.append((i, len(xs), *((sum(xs), min(xs), max(xs), sum(xs) / len(xs)) if xs else (None,) * 4), *((left[0][3], left[-1][3]) if left else (None, None))))
+        assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
