@@ -118,10 +118,11 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
 
     RANGE and GROUPS frames hold whole peer groups, however large: these are aggregated first,
     frames run over one row for each group, and what is left of a row's own group is added.
-    ROWS frames of up to ``NEAR`` rows without peers hold their rows as columns. The frame's
-    rows are gathered for each row only over other ROWS frames, where offsets bound them, and
-    for array_agg and group_concat, which return them; so a frame has to be bounded. For sum
-    and count over ROWS ``exclude_sum_count`` gathers nothing."""
+    ROWS frames that exclude nothing or their row are one or two of Spark's; those of up to
+    ``NEAR`` rows without peers hold their rows as columns. The frame's rows are gathered for
+    each row only over other ROWS frames, where offsets bound them, and for array_agg and
+    group_concat, which return them; so a frame has to be bounded there. For sum and count
+    over ROWS ``exclude_sum_count`` gathers nothing."""
     kind, low, high = frame
     if exclude_ not in ("no others", "current row", "group", "ties") or kind not in ("rows", "range", "groups") or low > high:
         raise ValueError(f"{kind} {low} to {high} ... EXCLUDE {exclude_}?")
@@ -129,11 +130,32 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
     if unknown:
         raise ValueError(f"unknown functions {unknown}")
     merged = all(f in _MERGED or f == "avg" for f, _ in aggs.values())
-    if merged and kind == "rows" and exclude_ == "group" and high - low < NEAR:
-        return _exclude_near(df, partition, order, frame, exclude_, aggs, pk, descending)
+    beside = exclude_ in ("no others", "current row")
+    if merged and kind == "rows" and (beside or (exclude_ == "group" and high - low < NEAR)):
+        return (_exclude_beside if beside else _exclude_near)(df, partition, order, frame, exclude_, aggs, pk, descending)
     return (_exclude_merged if merged and kind != "rows" else _exclude_gathered)(df, partition, order, frame, exclude_, aggs, pk, descending)
 
 
+def _exclude_beside(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
+    """ROWS frames that are whole, or all but the row: one or two of Spark's frames."""
+    _, low, high = frame
+    w = Window.partitionBy(*partition).orderBy(F.desc(order) if descending else F.asc(order), *pk)
+    sides = [(low, high)] if exclude_ == "no others" else [x for x in ((low, min(high, -1)), (max(low, 1), high)) if x[0] <= x[1]]
+
+    def total(s: str, x: str) -> Column:
+        if not sides:
+            return F.lit(0).cast("long") if s == "count" else F.lit(None).cast(_kind(df, s, x))
+        if s in ("first_value", "last_value"):  # a row may hold NULL: structs tell it from no row
+            make = F.first if s == "first_value" else F.last
+            got = [make(F.struct(F.col(x).alias("x"))).over(w.rowsBetween(*side)) for side in sides]
+            return F.coalesce(*(got if s == "first_value" else got[::-1]))["x"]
+        make, _, both, _ = _MERGED[s]
+        got = [make(x).over(w.rowsBetween(*side)) for side in sides]
+        return got[0] if len(got) == 1 else both(*got)
+
+    return df.select(*df.columns, *_results(total, aggs))
+
+
 def _exclude_near(df: DataFrame, partition: list[str], order: str, frame: tuple[str, int, int], exclude_: str, aggs: dict[str, tuple[str, str]], pk: list[str], descending: bool) -> DataFrame:
     """Narrow ROWS frames without peers: a column for each place in the frame, NULL where its row is a peer."""
     _, low, high = frame

@@ -144,7 +144,7 @@ def test_frames_of_whole_peer_groups_gather_no_rows(spark, kind):
             assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
 
 
-ROWS_KINDS = ["group"]
+ROWS_KINDS = ["group", "no others", "current row"]
 
 
 @pytest.mark.parametrize("kind", ROWS_KINDS)
