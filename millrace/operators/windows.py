@@ -107,7 +107,7 @@ _MERGED = {
 }
 
 
-#: Rows of a ROWS frame up to which EXCLUDE GROUP holds them as columns.
+#: Rows of a ROWS frame up to which EXCLUDE GROUP and TIES hold them as columns.
 NEAR = 16
 
 
@@ -119,9 +119,9 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
     RANGE and GROUPS frames hold whole peer groups, however large: these are aggregated first,
     frames run over one row for each group, and what is left of a row's own group is added.
     ROWS frames that exclude nothing or their row are one or two of Spark's; those of up to
-    ``NEAR`` rows without peers hold their rows as columns. The frame's rows are gathered for
-    each row only over other ROWS frames, where offsets bound them, and for array_agg and
-    group_concat, which return them; so a frame has to be bounded there. For sum and count
+    ``NEAR`` rows with EXCLUDE GROUP or TIES hold their rows as columns. The frame's rows are
+    gathered for each row only over wider ones, where offsets bound them, and for array_agg
+    and group_concat, which return them; so a frame has to be bounded there. For sum and count
     over ROWS ``exclude_sum_count`` gathers nothing."""
     kind, low, high = frame
     if exclude_ not in ("no others", "current row", "group", "ties") or kind not in ("rows", "range", "groups") or low > high:
@@ -131,7 +131,7 @@ def exclude(df: DataFrame, partition: list[str], order: str, frame: tuple[str, i
         raise ValueError(f"unknown functions {unknown}")
     merged = all(f in _MERGED or f == "avg" for f, _ in aggs.values())
     beside = exclude_ in ("no others", "current row")
-    if merged and kind == "rows" and (beside or (exclude_ == "group" and high - low < NEAR)):
+    if merged and kind == "rows" and (beside or high - low < NEAR):
         return (_exclude_beside if beside else _exclude_near)(df, partition, order, frame, exclude_, aggs, pk, descending)
     return (_exclude_merged if merged and kind != "rows" else _exclude_gathered)(df, partition, order, frame, exclude_, aggs, pk, descending)
 

@@ -311,7 +311,8 @@ def _excluded(kind: str) -> None:
         for frame in (("rows", -3, 1), ("groups", -1, 1), ("range", -4, 2)):
             aggs = {"n": ("count", "p_partkey"), "s": ("sum", "p_partkey"), "lo": ("min", "p_partkey"), "hi": ("max", "p_partkey"), "av": ("avg", "p_partkey")}
             got = windows.exclude(part, ["p_brand"], "p_size", frame, kind, aggs, ["p_partkey"])
-            got = got.select(F.lit(frame[0]).alias("frame"), "p_partkey", "n", "s", "lo", "hi", F.round("av", 6).alias("av"))
+            av = F.round(c("av") * 1e6) / 1e6  # as the SQL's round does; F.round(x, 6) rounds the decimal digits
+            got = got.select(F.lit(frame[0]).alias("frame"), "p_partkey", "n", "s", "lo", "hi", av.alias("av"))
             out = got if out is None else out.unionAll(got)
         return out
 

@@ -144,7 +144,7 @@ def test_frames_of_whole_peer_groups_gather_no_rows(spark, kind):
             assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
 
 
-ROWS_KINDS = ["group", "no others", "current row"]
+ROWS_KINDS = ["group", "no others", "current row", "ties"]
 
 
 @pytest.mark.parametrize("kind", ROWS_KINDS)
@@ -166,3 +166,16 @@ def test_frames_of_rows_gather_no_rows(spark, kind, down):
             xs = [r[3] for r in left if r[3] is not None]
             want.append((i, len(xs), *((sum(xs), min(xs), max(xs), sum(xs) / len(xs)) if xs else (None,) * 4), *((left[0][3], left[-1][3]) if left else (None, None))))
         assert rows(got.select("id", *aggs)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_averages_round_as_those_of_the_sql(spark, tmp_path, kind):
+    import duckdb
+
+    from millrace.plans.queries import ORACLE_SQL, QUERIES
+
+    name = f"win_exclude_any_{kind.replace(' ', '_')}"
+    spark.createDataFrame([(4000070201 + d, "b", 2 if d == 9 else 1) for d in (-4, -3, -2, -1, 0, 1, 2, 3, 9)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert rows(QUERIES[name](spark, str(tmp_path))) == sorted(con.execute(ORACLE_SQL[name]).fetchall(), key=repr)
